@@ -42,7 +42,7 @@ def cooccurrence(df: DataFrame, basket: str, items: Column, min_together: int =
     counts = rows.groupBy("item").agg(F.count(F.lit(1)).alias("count"))
     usable = counts.where((F.col("count") >= min_together) & (F.col("count") * F.lit(float(min_lift)) <= n))
     vocabulary = materialise(usable.withColumn("id", F.monotonically_increasing_id()), "cooccur-items")
-    encoded = bounded_join(rows, vocabulary.select("item", "id"), "item").select("basket", "id")
+    encoded = bounded_join(rows, vocabulary.select("item", "id"), "item", spread=["basket"]).select("basket", "id")
     sorted_ids = encoded.groupBy("basket").agg(F.array_sort(F.collect_list("id")).alias("ids")).where(F.size("ids") > 1)
     first = sorted_ids.select("ids", F.posexplode("ids").alias("pos", "a"))
     pairs = first.select("a", F.explode(F.slice("ids", F.col("pos") + 2, F.size("ids"))).alias("b"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..core.session import materialise, task_count
-from ..core.sizing import BROADCAST_ROWS, bounded_join, rows_at_most
+from ..core.sizing import bounded_join, rows_at_most
 
 
 @dataclass(frozen=True)

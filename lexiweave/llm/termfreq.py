@@ -115,7 +115,7 @@ def term_frequencies(df: DataFrame, row: str, record: str, terms: list[Column])
     )
     rows = rows.select((F.col("__row") + F.col("h.slot")).alias("row"), "record", F.col("h.term").alias("term")).where("term IS NOT NULL")
     words = dictionary(rows)
-    encoded = bounded_join(rows, words, "term").select("term_id", "record", "row")
+    encoded = bounded_join(rows, words, "term", spread=["row"]).select("term_id", "record", "row")
     spread = encoded.repartition(F.col("term_id"), F.coalesce("record", "row")).sortWithinPartitions("term_id", "record", "row")
     arrays = spread.mapInArrow(_accumulate, "block long, at array<int>, occurrences array<long>, records array<long>")
     sums = arrays.groupBy("block").applyInArrow(_sum_blocks, "term_id long, occurrences long, records long")

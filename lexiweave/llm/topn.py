@@ -10,9 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..core import skew
+from ..core import sizing, skew
 from ..core.session import materialise
-from ..core.sizing import BROADCAST_ROWS, rows_at_most
 
 #: Bins for each doubling of the score's magnitude.
 STEPS = 8
@@ -75,7 +74,7 @@ def top_n_per_group(
     value = F.col(score).cast("double")
     rows = df.select(*group, *tie, value.alias(score)).where(F.abs(F.col(score)) < float("inf"))
     bounds = materialise(thresholds(rows, group, score, tie, n), "topn-thresholds")
-    if rows_at_most(bounds, BROADCAST_ROWS):
+    if sizing.rows_at_most(bounds, sizing.BROADCAST_ROWS):
         own = {g: f"__g_{i}" for i, g in enumerate(group)}
         cond = F.lit(True)
         for g, o in own.items():
