@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-#: A side is broadcast only if a count of its rows stays below this bound.
-BROADCAST_ROWS = 1_000_000
+from . import skew
+
+#: A side is broadcast only if a count of its rows stays below this bound (narrow rows: some 50 MB).
+BROADCAST_ROWS = 400_000
 
 
 def rows_at_most(df: DataFrame, bound: int) -> bool:
@@ -13,14 +15,23 @@ def rows_at_most(df: DataFrame, bound: int) -> bool:
     return df.limit(bound + 1).count() <= bound
 
 
-def bounded_join(left: DataFrame, right: DataFrame, on, how: str = "inner", bound: int = BROADCAST_ROWS) -> DataFrame:
-    """Join that broadcasts ``right`` when a count proves it small, else shuffles both sides."""
-    if rows_at_most(right, bound):
+def bounded_join(
+    left: DataFrame, right: DataFrame, on, how: str = "inner", bound: int | None = None, spread: list[str] | None = None
+) -> DataFrame:
+    """Join that broadcasts ``right`` when a count proves it small, else shuffles both sides.
+
+    With ``spread`` (columns of ``left`` that tell the rows of one key apart) hot keys of
+    ``left`` are then cut into shards and only the matching rows of ``right`` are repeated.
+    """
+    if rows_at_most(right, BROADCAST_ROWS if bound is None else bound):
         return left.join(F.broadcast(right), on, how)
-    return left.join(right.hint("shuffle_hash"), on, how)
+    keys = [on] if isinstance(on, str) else list(on)
+    if spread:
+        return skew.fragment_replicate_join(left, right, keys, spread, how)
+    return left.join(right.hint("shuffle_hash"), keys, how)
 
 
-def unique_rows(df: DataFrame, key: list[str], bound: int = BROADCAST_ROWS) -> DataFrame:
+def unique_rows(df: DataFrame, key: list[str], bound: int | None = None) -> DataFrame:
     """One row for each key, without shuffling wide rows whose key occurs once.
 
     Only the key column is shuffled to find repeated keys. Rows of repeated keys (usually
@@ -31,7 +42,7 @@ def unique_rows(df: DataFrame, key: list[str], bound: int = BROADCAST_ROWS) -> D
     repeated = df.groupBy(*key).count().where("count > 1").select(*key).withColumn(flag, F.lit(True))
     if rows_at_most(repeated, 0):
         return df
-    if not rows_at_most(repeated, bound):
+    if not rows_at_most(repeated, BROADCAST_ROWS if bound is None else bound):
         return df.dropDuplicates(key)
     names = {k: f"__key_{i}" for i, k in enumerate(key)}
     small = F.broadcast(repeated.withColumnsRenamed(names))

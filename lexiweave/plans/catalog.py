@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import Entry, skew
+from . import Entry, graph, skew, text, vectors
 
-MODULES = [skew]
+MODULES = [skew, text, graph, vectors]
 
 
 def entries() -> dict[str, Entry]:
