@@ -81,9 +81,9 @@ def node_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.build_nodes(edges_of(spark, sf_dir))
 
 
-@registry.query("edge_aggregate", f"SELECT source, relation, target, round(avg(confidence), 6) AS confidence, count(*) AS n FROM ({EDGES}) GROUP BY 1, 2, 3")
+@registry.query("edge_aggregate", f"SELECT source, relation, target, round(avg(confidence), 9) AS confidence, count(*) AS n FROM ({EDGES}) GROUP BY 1, 2, 3")
 def edge_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.aggregate_edges(edges_of(spark, sf_dir)).withColumn("confidence", F.round("confidence", 6))
+    return graph.aggregate_edges(edges_of(spark, sf_dir)).withColumn("confidence", F.round("confidence", 9))
 
 
 @registry.query(
