@@ -42,7 +42,7 @@ def dictionary(terms: DataFrame, column: str = "term") -> DataFrame:
     return joined.select("term", (F.col("__start") + within).alias("term_id"))
 
 
-def _accumulate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _accumulate(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """Sorted (term_id, record, row) to arrays of counts for each block; only one block is held."""
     last = (-1, None, None)
     block, ids, occ, pres = -1, [], [], []
@@ -72,14 +72,14 @@ def _accumulate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new_record = (t != pt) | (r != pr) | (known != pv)
         new_row = new_record | (k != pk)
         last = (int(t[-1]), int(r[-1]) if known[-1] else None, int(k[-1]))
-        blocks = t // BLOCK
+        blocks = t // size
         cuts = np.concatenate(([0], np.flatnonzero(np.diff(blocks)) + 1, [len(t)]))
         for a, b in zip(cuts[:-1], cuts[1:]):
             if blocks[a] != block and ids:
                 yield flush()
                 ids, occ, pres = [], [], []
             block = int(blocks[a])
-            at, where = np.unique(t[a:b] - block * BLOCK, return_inverse=True)
+            at, where = np.unique(t[a:b] - block * size, return_inverse=True)
             ids.append(at)
             occ.append(np.bincount(where, weights=new_row[a:b], minlength=len(at)))
             pres.append(np.bincount(where, weights=(new_record & known)[a:b], minlength=len(at)))
@@ -87,27 +87,28 @@ def _accumulate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def _sum_blocks(table: pa.Table) -> pa.Table:
+def _sum_blocks(table: pa.Table, size: int) -> pa.Table:
     """Sum of one block's arrays, as rows (term_id, occurrences, records)."""
-    occ, pres = np.zeros(BLOCK, np.int64), np.zeros(BLOCK, np.int64)
-    seen = np.zeros(BLOCK, bool)
+    occ, pres = np.zeros(size, np.int64), np.zeros(size, np.int64)
+    seen = np.zeros(size, bool)
     for at, o, p in zip(*(table.column(c) for c in ("at", "occurrences", "records"))):
         i = at.values.to_numpy()
         occ[i] += o.values.to_numpy()
         pres[i] += p.values.to_numpy()
         seen[i] = True
     i = np.flatnonzero(seen)
-    first = table.column("block")[0].as_py() * BLOCK
+    first = table.column("block")[0].as_py() * size
     return pa.table({"term_id": i + first, "occurrences": occ[i], "records": pres[i]})
 
 
-def term_frequencies(df: DataFrame, row: str, record: str, terms: list[Column]) -> DataFrame:
+def term_frequencies(df: DataFrame, row: str, record: str, terms: list[Column], block: int = BLOCK) -> DataFrame:
     """Occurrences of every distinct term and the number of records it is in.
 
     ``row`` identifies a row (repeated rows count once), ``record`` the document or sentence,
     ``terms`` are the columns that hold terms; a term that stands in two of them occurs twice.
     Null terms do not count; rows with a null record count as occurrences but in no record.
-    An empty table gives no rows. Returns ``term``, ``occurrences`` and ``records``.
+    ``block`` is the number of identifiers
+    in one block. An empty table gives no rows. Returns ``term``, ``occurrences`` and ``records``.
     """
     held = F.array(*[F.struct(F.lit(i).alias("slot"), t.alias("term")) for i, t in enumerate(terms)])
     rows = df.select(
@@ -117,8 +118,8 @@ def term_frequencies(df: DataFrame, row: str, record: str, terms: list[Column])
     words = dictionary(rows)
     encoded = bounded_join(rows, words, "term", spread=["row"]).select("term_id", "record", "row")
     spread = encoded.repartition(F.col("term_id"), F.coalesce("record", "row")).sortWithinPartitions("term_id", "record", "row")
-    arrays = spread.mapInArrow(_accumulate, "block long, at array<int>, occurrences array<long>, records array<long>")
-    sums = arrays.groupBy("block").applyInArrow(_sum_blocks, "term_id long, occurrences long, records long")
+    arrays = spread.mapInArrow(lambda batches: _accumulate(batches, block), "block long, at array<int>, occurrences array<long>, records array<long>")
+    sums = arrays.groupBy("block").applyInArrow(lambda t: _sum_blocks(t, block), "term_id long, occurrences long, records long")
     return bounded_join(sums, words, "term_id").select("term", "occurrences", "records")
 
 
