@@ -114,7 +114,19 @@ _MULTI = re.compile(r"[^\x00-\x7f]{2,}")
 
 def cost(text: str) -> int:
     """How garbled a passage looks; 0 for clean text in common languages."""
-    return sum(_cost(m) for m in _AROUND.findall(text))
+    total = sum(_cost(m) for m in _AROUND.findall(text))
+    if "‹" in text or "›" in text:
+        total += text.count("‹") != text.count("›")
+    if "ís" in text and _ENGLISH.search(text) and not _SPANISH.search(text):
+        total += sum(w not in _NAMES for w in _POSSESSIVE.findall(text))
+    return total
+
+
+#: An English sentence with a capitalised word in -ís: the apostrophe of a possessive, misread. Names may end so.
+_POSSESSIVE = re.compile(r"\b[A-Z][A-Za-z]*ís\b")
+_ENGLISH = re.compile(r"\b(?:[Tt]he|of|and|was|were|is|by|that)\b")
+_SPANISH = re.compile(r"\b(?:[EeÉé]l|[Ll]a|[Ll]os|[Ll]as|de|que|en|y)\b")
+_NAMES = frozenset(("París", "País", "Luís", "Moisés", "Alís", "Asís", "Solís"))
 
 
 @lru_cache(100_000)
@@ -151,8 +163,8 @@ def _cost(text: str) -> int:
         elif pl and k == "open":
             glued = _kind(text[i + 1])[0] in "LCGIX" if i + 1 < len(text) else False
             total += glued or ch not in "“‘" or prev_ch in _LEADS
-        elif l and prev in ("close", "dash") and i > 1 and prev_ch != "’" and k[1] == "u" and _kind(text[i - 2])[-1] == "n" and _kind(text[i - 2])[1:2] == "u":
-            total += 1
+        elif l and prev in ("close", "dash") and i > 1 and prev_ch != "’" and _kind(text[i - 2])[1:] == "un":
+            total += 1  # a mark between an accented capital and a letter
         elif pl and prev_ch in _LEADS and k in ("close", "dash", "wrong"):
             total += 1
         elif prev_ch in "ÂÃ" and ch == "\xa0":
@@ -161,6 +173,15 @@ def _cost(text: str) -> int:
             total += 1
         elif pl and ch == "·" or prev_ch == "·" and l:
             total += 1
+        if ch in "óìî‡":
+            nxt = text[i + 1] if i + 1 < len(text) else " "
+            before, after = prev_ch.isalpha(), nxt.isalpha()
+            if ch == "ó" and prev == "blank" and nxt.isspace():
+                total += 1  # no word, but a dash in another encoding
+            elif ch == "ì" and not before and after or ch == "î" and before and not after:
+                total += 1  # no word begins or ends so, but quotation marks in another encoding do
+            elif ch == "‡" and prev_ch in "- " and nxt in "- ":
+                total += 1
         prev, prev_ch = k, ch
     return total
 
@@ -234,10 +255,8 @@ def _undo_bytes(text: str) -> tuple[str, tuple[str, ...]]:
     return _SEGMENT.sub(undo, text), tuple(dict.fromkeys(layers))
 
 
-def repair(text: str) -> Repair:
-    """Restore a text; ASCII text and text of cost 0 comes back as it is."""
-    if text.isascii():
-        return Repair(False, text, (), 0)
+def _undo_layers(text: str) -> tuple[str, list[str]]:
+    """Layers of misread UTF-8, the encoding that undoes most and leaves least garbled first."""
     now, layers = text.replace("â€" + LOST, "”"), []  # a closing quotation mark whose last byte cp1252 leaves open
     if now != text:
         layers.append("cp1252<utf-8")
@@ -247,10 +266,27 @@ def repair(text: str) -> Repair:
         steps = [(cost(after) + len(after), i, after) for i, e in enumerate(MISREAD_UTF8) if e in wanted and (after := _undo_utf8(now, e)) != now]
         if not steps:
             break
-        _, i, now = min(steps)  # the encoding that undoes most and leaves least garbled
+        _, i, now = min(steps)
         layers.append(f"{MISREAD_UTF8[i]}<utf-8")
+    return now, layers
+
+
+def repair(text: str) -> Repair:
+    """Restore a text; ASCII text and text of cost 0 comes back as it is.
+
+    UTF-8 layers are undone before single-byte mistakes. If garbling is left, the other order
+    is tried too, since misread single bytes may form a UTF-8 sequence by chance.
+    """
+    if text.isascii():
+        return Repair(False, text, (), 0)
+    now, layers = _undo_layers(text)
     now, more = _undo_bytes(now)
     layers += more
+    if layers and (left := cost(now)):
+        other, first = _undo_bytes(text)
+        other, then = _undo_layers(other)
+        if first and cost(other) < left:
+            now, layers = other, [*first, *then]
     lost = sum(_kind(c) == "wrong" for c in now if ord(c) > 126)
     return Repair(bool(layers) or lost > 0, now, tuple(dict.fromkeys(layers)), lost)
 

@@ -12,7 +12,7 @@ CLEAN = [
     "Das Wort „lumo“ verändert die Übung; »anders« ‚so‘.",
     "¿Por qué? ¡Sí! “CAFÉ” — AÑO… À la fin.",
     "«СССВ» и «слово»; ΑΒΓ «λόγος»",
-    "café", "don’t", "",
+    "café", "don’t", "", "Vivió en París. Así es el país.", "così ‹qui› paîtra",
 ]
 TEXTS = ["El corazón está aquí, mañana también: «sí»; ¿qué? ¡olé!", "Le théâtre n’est pas très pâle — où est l’été ?", "Können wir das Öl prüfen? Die Straße heißt „Übung“.", "She said “naïve résumé” — don’t, it’s 5 °C."]
 
@@ -50,6 +50,12 @@ def test_single_bytes_misread(text):
     assert r.garbled and r.text == text
 
 
+@pytest.mark.parametrize("text", ["The guild — not the verb — introduces nests.", "The word “lumo” guides it.", "In 1200 the beds of Tesscalo’s island were sold.", "This vis-à-vis of a term ends."])
+def test_few_wrong_characters(text):
+    r = mj.repair(text.encode("cp1252").decode("mac_roman"))
+    assert r.garbled and r.text == text
+
+
 def test_lost_characters():
     r = mj.repair("F�r alle")
     assert r.garbled and r.lost == 1 and r.text == "F�r alle"
