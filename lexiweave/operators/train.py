@@ -20,9 +20,9 @@ RELATION_DISTANCE = {
 
 
 def relation_distance(relation: Column, table: dict[str, float] | None = None) -> Column:
-    out = F.lit(None).cast("double")
+    out = F.when(F.lit(False), F.lit(0.0))
     for name, d in (table or RELATION_DISTANCE).items():
-        out = F.when(relation == name, F.lit(d)).otherwise(out)
+        out = out.when(relation == name, F.lit(d))
     return out
 
 

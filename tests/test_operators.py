@@ -127,7 +127,7 @@ def test_gradient_matches_finite_differences(spark):
 
 
 def test_training_lowers_the_loss(spark):
-    e = spark.createDataFrame([("a", "b", "describes", 1.0), ("b", "c", "antonym", 1.0), ("a", "x", "unknown", 1.0)], "source string, relation string, target string, confidence double")
+    e = spark.createDataFrame([("a", "describes", "b", 1.0), ("b", "antonym", "c", 1.0), ("a", "unknown", "x", 1.0)], "source string, relation string, target string, confidence double")
     t = train.training_edges(e)
     assert t.count() == 2
     vectors, losses = train.train(t, train.initial_vectors(spark.createDataFrame([("a",), ("b",), ("c",)], "word string"), 8), epochs=4, anchors=2)
