@@ -273,7 +273,8 @@ def similar_vectors(df: DataFrame, key: str, vector: str, dims: int, k: int = 5,
     rows = groups.select("id", "bytes").repartition(task_count(df.sparkSession)).mapInArrow(_emit(h, hot), "bucket long, block int, probe boolean, id long, bytes binary")
     placed = rows.repartition("bucket", "block").sortWithinPartitions("bucket", "block", "probe")
     found = placed.mapInArrow(_rank(dims, k), "a long, b long, similarity double")
-    near = _best(k)(found).select("a", "b", "similarity")
+    # k rows for each vector: written once, since the copies' joins read and count them again
+    near = materialise(_best(k)(found).select("a", "b", "similarity"), "knn-near")
     return _expand(near, groups, vectors, k)
 
 
