@@ -14,14 +14,15 @@ from ..core.sizing import bounded_join
 
 
 def baskets(df: DataFrame, basket: str, items: Column) -> DataFrame:
-    """One row for each basket and distinct item, placed by basket.
+    """One row for each basket with its distinct items, placed by basket.
 
     Repeated rows and repeated items fall together. Null baskets, null arrays and null items
     do not count.
     """
-    rows = df.select(F.col(basket).alias("basket"), F.array_distinct(items).alias("items")).where(F.col("basket").isNotNull())
-    placed = rows.where(F.size("items") > 0).repartition("basket")
-    return placed.select("basket", F.explode("items").alias("item")).where(F.col("item").isNotNull()).dropDuplicates(["basket", "item"])
+    present = F.filter(F.array_distinct(items), lambda x: x.isNotNull())
+    rows = df.select(F.col(basket).alias("basket"), present.alias("items")).where(F.col("basket").isNotNull())
+    # a set: copies of a row, however many, combine map-side
+    return rows.groupBy("basket").agg(F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
 
 
 def cooccurrence(df: DataFrame, basket: str, items: Column, min_together: int = 1, min_lift: float = 0.0) -> DataFrame:
@@ -37,11 +38,14 @@ def cooccurrence(df: DataFrame, basket: str, items: Column, min_together: int =
     either. That removes the words of nearly every basket before pairs are made.
     Baskets of one item count in ``baskets`` but give no pair; an empty table gives no rows.
     """
-    rows = baskets(df, basket, items)
-    n = rows.select("basket").distinct().count()
-    counts = rows.groupBy("item").agg(F.count(F.lit(1)).alias("count"))
-    usable = counts.where((F.col("count") >= min_together) & (F.col("count") * F.lit(float(min_lift)) <= n))
-    vocabulary = materialise(usable.withColumn("id", F.monotonically_increasing_id()), "cooccur-items")
+    sets = baskets(df, basket, items)
+    # one pass counts the items and, by each basket's first item, the baskets
+    counts = sets.select(F.posexplode("items").alias("pos", "item")).groupBy("item")
+    counts = counts.agg(F.count(F.lit(1)).alias("count"), F.count_if(F.col("pos") == 0).alias("first"))
+    every = materialise(counts.withColumn("id", F.monotonically_increasing_id()), "cooccur-items")
+    n = every.agg(F.sum("first")).first()[0] or 0
+    vocabulary = every.drop("first").where((F.col("count") >= min_together) & (F.col("count") * F.lit(float(min_lift)) <= n))
+    rows = sets.select("basket", F.explode("items").alias("item"))
     encoded = bounded_join(rows, vocabulary.select("item", "id"), "item", spread=["basket"]).select("basket", "id")
     sorted_ids = encoded.groupBy("basket").agg(F.array_sort(F.collect_list("id")).alias("ids")).where(F.size("ids") > 1)
     first = sorted_ids.select("ids", F.posexplode("ids").alias("pos", "a"))
