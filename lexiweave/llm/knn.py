@@ -23,6 +23,10 @@ from ..core.session import materialise, task_count
 from ..core.sizing import bounded_join, rows_at_most
 
 
+#: Similarities that a worker holds at once.
+CELLS = 2_000_000
+
+
 @dataclass(frozen=True)
 class Hashing:
     """``tables`` hash tables of ``functions`` p-stable functions of ``width``, each probed ``probes`` + 1 times."""
@@ -214,8 +218,9 @@ def _rank(dims: int, k: int):
                     order = np.argsort(np.concatenate(member_ids), kind="stable")
                     ready = np.concatenate(member_ids)[order], np.concatenate(members)[order]
                 mi, mx = ready
-                for t in range(s, e, 512):
-                    q, qi = _unit(_matrix(raw.slice(t, min(512, e - t)), dims)), ids[t : min(t + 512, e)]
+                some = max(8, CELLS // len(mi))
+                for t in range(s, e, some):
+                    q, qi = _unit(_matrix(raw.slice(t, min(some, e - t)), dims)), ids[t : min(t + some, e)]
                     sim = np.round(q @ mx.T, 9)
                     sim[qi[:, None] == mi[None, :]] = -2.0
                     take = min(k, sim.shape[1])
