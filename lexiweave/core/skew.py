@@ -175,19 +175,22 @@ def balanced_aggregate(
 
 
 def fragment_replicate_join(
-    df: DataFrame, other: DataFrame, keys: list[str], spread: list[str], how: str = "inner", plan: LoadPlan | None = None, null_safe: bool = False
+    df: DataFrame, other: DataFrame, keys: list[str], spread: list[str], how: str = "inner", plan: LoadPlan | None = None, null_safe: bool = False,
+    distinct: bool = False,
 ) -> DataFrame:
     """Equi-join on ``keys`` (same names on both sides) whose hot keys are spread over tasks.
 
     ``how`` is inner, left, left_semi or left_anti, which replication of the right side leaves
     exact. Null keys match only with ``null_safe``. Columns of ``other`` that clash with ``df``
-    get the suffix ``_right``.
+    get the suffix ``_right``. With ``distinct``, exact copies of a row of ``df`` count once; they
+    meet in one task, so dropping them costs no shuffle.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"{how} would repeat rows of the replicated side")
     plan = plan or plan_load(df, keys)
     clash = {c: f"{c}_right" for c in other.columns if c in df.columns and c not in keys}
     left = place(df, plan, spread)
+    left = left.distinct() if distinct else left
     own = {k: f"__right_{k}" for k in [*keys, "__task"]}
     right = replicate(other.withColumnsRenamed(clash), plan).withColumnsRenamed(own)
     cond = left["__task"] == right["__right___task"]

@@ -91,6 +91,12 @@ def aggregate_edges(edges: DataFrame) -> DataFrame:
     return edges.groupBy("source", "relation", "target").agg(F.avg("confidence").alias("confidence"), F.count(F.lit(1)).alias("n"))
 
 
+def _signature(links: DataFrame) -> tuple:
+    """Number and hash sum of a set of links, equal for equal sets; one small job over the written table."""
+    h = F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))
+    return tuple(links.agg(F.count(F.lit(1)), h, F.sum(F.pmod(F.xxhash64("v", "u", F.lit(1)), F.lit(1 << 40)))).first())
+
+
 def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
     """Connected components: (node, component), the component named by its smallest node.
 
@@ -100,21 +106,21 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
     only the minimum of each neighbourhood is aggregated, map-side first.
     """
     now = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
+    now = materialise(now.distinct(), "component-edges")  # whatever made the edges runs once
     nodes = now.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    links = materialise(now.where("u <> v").distinct(), "components")
+    links = now.where("u <> v")
+    before = _signature(links)
     for _ in range(max_rounds):
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        low = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        nxt = small.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        nxt = materialise(nxt, "components")
-        same = nxt.exceptAll(links).isEmpty() and links.exceptAll(nxt).isEmpty()
-        links = nxt
-        if same:
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        links = materialise(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "components")
+        after = _signature(links)
+        if after == before:
             break
+        before = after
     else:
         raise RuntimeError("components did not settle")
     root = links.groupBy("u").agg(F.min("v").alias("component"))

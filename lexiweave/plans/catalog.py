@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import Entry, axes, graph, jobs, lexicon, parsing, skew, text, vectors
+from . import Entry, anchors, axes, graph, jobs, lexicon, parsing, skew, text, vectors
 
-MODULES = [skew, text, graph, lexicon, vectors, axes, parsing, jobs]
+MODULES = [skew, text, graph, lexicon, vectors, axes, anchors, parsing, jobs]
 
 
 def entries() -> dict[str, Entry]:

@@ -59,7 +59,7 @@ def p2_key_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = table(spark, sf_dir, "graph_node").groupBy(term("word").alias("subject")).agg(F.max("frequency").alias("frequency"))
     nodes = nodes.where(F.col("subject").isNotNull())
     plan = skew.plan_load(t, ["subject"])
-    joined = skew.fragment_replicate_join(t.dropDuplicates(["triple_id"]), nodes, ["subject"], ["triple_id"], "left", plan)
+    joined = skew.fragment_replicate_join(t, nodes, ["subject"], ["triple_id"], "left", plan, distinct=True)
     score = F.when(~F.isnan("confidence"), F.col("confidence"))
     return joined.groupBy(*KEYS).agg(
         F.count(F.lit(1)).alias("triples"),
