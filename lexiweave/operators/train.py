@@ -55,7 +55,7 @@ def _joined(edges: DataFrame, vectors: DataFrame) -> DataFrame:
 def loss(edges: DataFrame, vectors: DataFrame) -> DataFrame:
     """One row: number of edges and weighted mean squared distance error."""
     j = _joined(edges, vectors)
-    return j.agg(F.count(F.lit(1)).alias("edges"), (F.sum(F.col("confidence") * F.col("miss") * F.col("miss")) / F.sum("confidence")).alias("loss"))
+    return j.agg(F.count(F.lit(1)).alias("edges"), F.try_divide(F.sum(F.col("confidence") * F.col("miss") * F.col("miss")), F.sum("confidence")).alias("loss"))
 
 
 def step(edges: DataFrame, vectors: DataFrame, rate: float, anchors: int, sparsity: float = 0.0) -> DataFrame:

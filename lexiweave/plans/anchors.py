@@ -147,7 +147,7 @@ def axis_selectivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much the three strongest dimensions of the groups coincide."""
     d = long_form(spark, sf_dir).groupBy("label", "dim").agg(F.avg(F.abs("v")).alias("m"))
     t = d.withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy(F.desc("m"), "dim"))).where("k <= 3")
-    return t.agg(F.count(F.lit(1)).alias("total"), F.countDistinct("dim").alias("dims"), r6(1 - F.countDistinct("dim") / F.count(F.lit(1)), "overlap"))
+    return t.agg(F.count(F.lit(1)).alias("total"), F.countDistinct("dim").alias("dims"), r6(1 - F.try_divide(F.countDistinct("dim"), F.count(F.lit(1))), "overlap"))
 
 
 @registry.query(
@@ -193,7 +193,7 @@ def graph_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = bounded_join(bounded_join(links, c.toDF("a", "pa"), "a"), c.toDF("b", "pb"), "b")
     inside = F.count_if(F.col("pa") == F.col("pb"))
     n = F.count(F.lit(1))
-    return j.agg(n.alias("edges"), inside.alias("internal"), r6(0.5 + 0.5 * inside / n, "confidence"))
+    return j.agg(n.alias("edges"), inside.alias("internal"), r6(0.5 + 0.5 * F.try_divide(inside, n), "confidence"))
 
 
 @registry.query(
@@ -268,5 +268,5 @@ def axis_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = edges_of(spark, sf_dir).groupBy(F.col("relation").alias("axis")).agg(F.count(F.lit(1)).alias("size"), F.round(F.avg("confidence"), 6).alias("coherence"))
     return a.agg(
         F.count(F.lit(1)).alias("axes"), F.min("size").alias("min_size"), F.max("size").alias("max_size"), r6(F.avg("coherence"), "mean_coherence"),
-        r6(F.median("coherence"), "median_coherence"), (F.countDistinct("axis") / F.count(F.lit(1))).alias("name_diversity"),
+        r6(F.median("coherence"), "median_coherence"), F.try_divide(F.countDistinct("axis"), F.count(F.lit(1))).alias("name_diversity"),
     )

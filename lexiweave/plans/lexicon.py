@@ -143,7 +143,7 @@ def tfidf_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = vectors.select(F.col("sentence_id").alias("s1"), F.col("m").alias("ma"), F.col("norm").alias("na"))
     b = vectors.select(F.col("sentence_id").alias("s2"), F.col("m").alias("mb"), F.col("norm").alias("nb"))
     dot = F.aggregate(F.map_entries("ma"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at("mb", e["key"]), F.lit(0.0)))
-    return p.join(a, "s1").join(b, "s2").select("s1", "s2", F.round(dot / (F.col("na") * F.col("nb")), 6).alias("cosine"))
+    return p.join(a, "s1").join(b, "s2").select("s1", "s2", F.round(F.try_divide(dot, F.col("na") * F.col("nb")), 6).alias("cosine"))
 
 
 _NEAR = f"""(SELECT context_id, {term_sql('word')} AS word, list_distinct(list_filter(list_transform(neighbors, lambda x: {term_sql('x')}), lambda x: x IS NOT NULL)) AS near, sentence_id

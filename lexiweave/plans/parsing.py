@@ -69,7 +69,7 @@ def prune_beam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Trees with known scores (case, nodes, consumed, edges as parent–child).
 GOLDENS = {
-    "G1": (3, [0, 1], [(1, 0), (2, 1)]),
+    "G1": (3, [0, 1], [(0, 1), (1, 2)]),
     "G3": (3, [0, 2], [(0, 1), (2, 1)]),
     "G4": (8, [0, 1, 3, 5, 6, 7], [(0, 1), (3, 4), (6, 7), (5, 7), (5, 4), (2, 1)]),
 }

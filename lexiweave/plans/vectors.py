@@ -324,7 +324,7 @@ def seed_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = long_form(spark, sf_dir).groupBy("dim").agg((mean(0, 1) - mean(2, 3)).alias("x"), F.stddev_pop("v").alias("s"))
     # the window runs over one row for each dimension
     ranked = d.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.abs("x")), "dim"))).where("rank <= 5")
-    return ranked.select("dim", r6("x", "separation"), r6(F.abs("x") / F.col("s"), "strength"), "rank")
+    return ranked.select("dim", r6("x", "separation"), r6(F.try_divide(F.abs("x"), F.col("s")), "strength"), "rank")
 
 
 @registry.query(
@@ -335,7 +335,7 @@ FROM (SELECT dim, avg(v) FILTER (label = 0) AS h, avg(v) FILTER (label = 1) AS l
 def anchor_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     high, low = (F.avg(F.when(F.col("label") == i, F.col("v"))) for i in (0, 1))
     d = long_form(spark, sf_dir).where("dim < 51").groupBy("dim").agg((high - low).alias("s"), (F.max("v") - F.min("v")).alias("r"))
-    return d.select("dim", r6("s", "separation"), r6(F.col("s") / F.col("r"), "share"), (F.col("s") / F.col("r") >= 0.01).alias("valid"))
+    return d.select("dim", r6("s", "separation"), r6(F.try_divide("s", "r"), "share"), (F.try_divide("s", "r") >= 0.01).alias("valid"))
 
 
 _NOT_A = f"list_transform(a, lambda x, i: CASE WHEN {_IN_POL} THEN -x ELSE x END)"

@@ -6,7 +6,7 @@ from hypothesis import given, settings, strategies as st
 from lexiweave.operators import parser as p
 
 GOLDENS = [
-    (3, 2, [(1, 0), (2, 1)], [2], 0.8138),
+    (3, 2, [(0, 1), (1, 2)], [2], 0.8138),
     (3, 2, [(0, 1), (2, 1)], [1], 0.8138),
     (8, 6, [(0, 1), (3, 4), (6, 7), (5, 7), (5, 4), (2, 1)], [2, 4], 0.8375),
 ]
