@@ -15,6 +15,13 @@ def rows_at_most(df: DataFrame, bound: int) -> bool:
     return df.limit(bound + 1).count() <= bound
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A table scan for work that is heavy for each row: rows are dealt out anew only when the scan
+    has fewer partitions than there are cores, as with one small file. Large inputs stay as they are."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def bounded_join(
     left: DataFrame, right: DataFrame, on, how: str = "inner", bound: int | None = None, spread: list[str] | None = None
 ) -> DataFrame:

@@ -25,9 +25,13 @@ def euclid(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once; inside a lambda it would be computed for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def normalise(a: Column) -> Column:
-    n = F.greatest(norm(a), F.lit(EPS))
-    return F.transform(a, lambda x: x / n)
+    return let(F.greatest(norm(a), F.lit(EPS)), lambda n: F.transform(a, lambda x: x / n))
 
 
 def vec_not(a: Column, dims: list[int]) -> Column:
@@ -36,9 +40,11 @@ def vec_not(a: Column, dims: list[int]) -> Column:
 
 
 def _weighted(a: Column, b: Column) -> Column:
-    na, nb = norm(a), norm(b)
-    total = na + nb
-    return F.zip_with(a, b, lambda x, y: F.when(total < EPS, (x + y) / 2).otherwise((na * x + nb * y) / total))
+    def mean(n: Column) -> Column:
+        na, nb = n["a"], n["b"]
+        return F.zip_with(a, b, lambda x, y: F.when(na + nb < EPS, (x + y) / 2).otherwise((na * x + nb * y) / (na + nb)))
+
+    return let(F.struct(norm(a).alias("a"), norm(b).alias("b")), mean)
 
 
 def vec_and(a: Column, b: Column, method: str = "average") -> Column:
@@ -75,7 +81,7 @@ def compose(parent: Column, child: Column, edge: Column) -> Column:
         weight = F.when(edge == name, F.lit(w)).otherwise(weight)
     return (
         F.when(edge == "DESCRIPTION", F.zip_with(parent, child, lambda p, c: p * c))
-        .when(edge == "SPECIFICATION", F.transform(parent, lambda p: p * (1 + 0.2 * mean)))
+        .when(edge == "SPECIFICATION", let(mean, lambda m: F.transform(parent, lambda p: p * (1 + 0.2 * m))))
         .when(edge == "COORDINATION", F.zip_with(parent, child, lambda p, c: (p + c) / 2))
         .otherwise(F.zip_with(parent, child, lambda p, c: p + weight * c))
     )

@@ -66,9 +66,10 @@ def step(edges: DataFrame, vectors: DataFrame, rate: float, anchors: int, sparsi
     """
     j = _joined(edges, vectors)
     f = 2 * F.col("confidence") * F.col("miss") / F.greatest(F.col("d"), F.lit(vec.EPS))
-    ends = F.array(F.struct(F.col("source").alias("word"), F.lit(1.0).alias("s")), F.struct(F.col("target").alias("word"), F.lit(-1.0).alias("s")))
-    g = j.select(F.explode(ends).alias("e"), F.zip_with("a", "b", lambda x, y: f * (x - y)).alias("g"))
-    g = g.select(F.col("e.word").alias("word"), F.transform("g", lambda x: F.col("e.s") * x).alias("g")).select("word", F.posexplode("g").alias("dim", "x"))
+    z = j.select("source", "target", f.alias("f"), F.posexplode(F.arrays_zip(F.col("a").alias("x"), F.col("b").alias("y"))).alias("dim", "z"))
+    one = F.col("f") * (F.col("z.x") - F.col("z.y"))
+    ends = F.array(F.struct(F.col("source").alias("word"), one.alias("x")), F.struct(F.col("target").alias("word"), (-one).alias("x")))
+    g = z.select("dim", F.explode(ends).alias("e")).select("e.word", "dim", "e.x")
     mean = g.where(F.col("dim") >= anchors).groupBy("word", "dim").agg(F.avg("x").alias("x"))
     grad = mean.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("dim", "x"))).alias("g"))
     moved = F.transform(

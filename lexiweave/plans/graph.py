@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..core.sizing import spread
 from ..core.terms import relation_name, relation_name_sql, term, term_sql
 from ..functions import text as fx
 from ..operators import graph
@@ -15,7 +16,8 @@ WORD = "word"
 
 
 def edges_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "semantic_triple").select(
+    t = table(spark, sf_dir, "semantic_triple").select("triple_id", "subject", "relation", "object", "confidence", "source_type")
+    t = spread(t).select(
         "triple_id", term("subject").alias("subject"), relation_name("relation").alias("relation"), term("object").alias("object"),
         "confidence", "source_type",
     )

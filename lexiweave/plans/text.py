@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from ..core.sizing import spread
 from ..functions import text as fx
 from . import Registry, table
 
@@ -12,7 +13,8 @@ registry = Registry()
 
 def sentence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, pos, lang, sentence) of all documents."""
-    d = table(spark, sf_dir, "documents").select("doc_id", fx.plain_lang(F.col("lang")).alias("lang"), "text")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+    d = d.select("doc_id", fx.plain_lang(F.col("lang")).alias("lang"), "text")
     return d.select("doc_id", "lang", F.posexplode(fx.sentences(F.col("text"))).alias("pos", "sentence"))
 
 
@@ -77,7 +79,9 @@ def tag_ambiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.query("markup_clean", f"SELECT doc_id, {fx.clean_markup_sql('text')} AS clean FROM documents WHERE length({fx.clean_markup_sql('text')}) > 100")
 def markup_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", fx.clean_markup(F.col("text")).alias("clean"))
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    # a generated column, so that the filter does not run the rules a second time
+    d = d.select("doc_id", F.explode(F.array(fx.clean_markup(F.col("text")))).alias("clean"))
     return d.where(F.length("clean") > 100)
 
 

@@ -426,10 +426,12 @@ def constraint_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
     sign = F.when(F.col("d") < lo, F.lit(-1)).otherwise(F.lit(1))
     f = sign * 2 * F.col("w") * F.col("violation") / F.greatest(F.col("d"), F.lit(vec.EPS))
     r = _ranged(spark, sf_dir).where("violation > 0").withColumn("f", f)
-    step = F.zip_with("a", "b", lambda x, y: F.col("f") * (x - y))
-    ends = F.array(F.struct(F.col("id1").alias("id"), F.lit(1.0).alias("s")), F.struct(F.col("id2").alias("id"), F.lit(-1.0).alias("s")))
-    each = r.select(step.alias("g"), F.explode(ends).alias("e")).select(F.col("e.id").alias("vec_id"), F.col("e.s").alias("s"), F.posexplode("g").alias("dim", "g"))
-    return each.groupBy("vec_id", "dim").agg(r6(F.sum(F.col("s") * F.col("g")), "gradient"))
+    # the factor is a column beside the exploded arrays: inside a lambda it would be computed for every dimension
+    z = r.select("id1", "id2", "f", F.posexplode(F.arrays_zip(F.col("a").alias("x"), F.col("b").alias("y"))).alias("dim", "z"))
+    g = F.col("f") * (F.col("z.x") - F.col("z.y"))
+    ends = F.array(F.struct(F.col("id1").alias("id"), g.alias("g")), F.struct(F.col("id2").alias("id"), (-g).alias("g")))
+    each = z.select("dim", F.explode(ends).alias("e"))
+    return each.groupBy(F.col("e.id").alias("vec_id"), "dim").agg(r6(F.sum("e.g"), "gradient"))
 
 
 _POL = f"SELECT id1, id2, CASE WHEN x * y > 0 THEN abs(x) + abs(y) WHEN x * y < 0 THEN -(abs(x) + abs(y)) ELSE 0.1 END AS p, CASE WHEN x * y > 0 THEN abs(x) + abs(y) WHEN x * y < 0 THEN -0.5 * (abs(x) + abs(y)) ELSE 0.1 END AS s, (x - y) * (x - y) AS q, dim IN {tuple(POLARITY_DIMS)} AS own FROM {PAIR_DIMS} WHERE kind = 'antonym'"
