@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..core.sizing import unique_rows
+from ..core.sizing import spread, unique_rows
 from ..core.terms import term, term_sql
 from ..plans import Registry, table
 from . import contamination, cooccur, knn, mojibake, termfreq, tokenize, topn
@@ -163,16 +163,20 @@ def p5_activation_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @registry.query("p6_ids")
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = unique_rows(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
+    docs = unique_rows(_texts(spark, sf_dir), ["doc_id"])
     return tokenize.encode(docs, "doc_id", "text")
 
 
 @registry.query("p6_round_trip", "SELECT DISTINCT doc_id, octet_length(encode(coalesce(text, ''))) AS bytes, true AS exact FROM documents")
 def p6_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether decoding gives each text back; ``bytes`` is where the last token ends."""
-    docs = unique_rows(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
+    docs = unique_rows(_texts(spark, sf_dir), ["doc_id"])
     ids = tokenize.encode(docs, "doc_id", "text", offsets=True)
     back = tokenize.decode(ids, "doc_id").withColumnRenamed("text", "decoded")
     both = docs.join(back, "doc_id")
@@ -182,23 +186,23 @@ def p6_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.query("p7_found")
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = contamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
+    found = contamination.leaks(_texts(spark, sf_dir), table(spark, sf_dir, "eval_item"))
     return found.select("doc_id", "item_id")
 
 
 @registry.query("p7_clean_documents")
 def p7_clean_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with the leaked passages cut out."""
-    docs = unique_rows(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
+    docs = unique_rows(_texts(spark, sf_dir), ["doc_id"])
     return contamination.remove_leaks(docs, table(spark, sf_dir, "eval_item"))
 
 
 @registry.query("p8_found")
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mojibake.find_garbled(table(spark, sf_dir, "documents")).select("doc_id")
+    return mojibake.find_garbled(_texts(spark, sf_dir)).select("doc_id")
 
 
 @registry.query("p8_restored")
 def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Garbled documents with their texts as far as they can be restored."""
-    return mojibake.find_garbled(table(spark, sf_dir, "documents"))
+    return mojibake.find_garbled(_texts(spark, sf_dir))
