@@ -176,7 +176,7 @@ def remove_leaks(
 
     In ``spans`` mode the words of all shared windows are cut from the text as it was written,
     and the number of cut characters stands in ``removed_chars`` (0 where nothing was cut).
-    Documents with a null key or text stay as they are.
+    Documents with a null key or text stay as they are; a column named ``removed_chars`` is replaced.
     """
     if mode not in ("spans", "documents"):
         raise ValueError("mode is spans or documents")

@@ -264,7 +264,7 @@ def similar_vectors(df: DataFrame, key: str, vector: str, dims: int, k: int = 5,
     """For every usable vector its k most similar others: ``id``, ``neighbour``, ``similarity``, ``rank``.
 
     Similarity is the cosine in double precision, rounded to 9 decimals; of equal ones the
-    smaller id comes first. Vectors that are null, of another length, all zero or hold a null,
+    smaller id comes first. ``key`` is a whole number. Vectors that are null, of another length, all zero or hold a null,
     a NaN or an infinite number take no part; repeated rows count once; exact copies are
     neighbours of one another. With fewer than k + 1 vectors all others are given. Candidates
     are approximate (a neighbour in no bucket visited is missed), their order is exact.

@@ -104,7 +104,7 @@ def _sum_blocks(table: pa.Table, size: int) -> pa.Table:
 def term_frequencies(df: DataFrame, row: str, record: str, terms: list[Column], block: int = BLOCK) -> DataFrame:
     """Occurrences of every distinct term and the number of records it is in.
 
-    ``row`` identifies a row (repeated rows count once), ``record`` the document or sentence,
+    ``row`` identifies a row (repeated rows count once), ``record`` the document or sentence, both whole numbers;
     ``terms`` are the columns that hold terms; a term that stands in two of them occurs twice.
     Null terms do not count; rows with a null record count as occurrences but in no record.
     ``block`` is the number of identifiers
