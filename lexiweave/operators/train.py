@@ -11,12 +11,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..core.session import materialise
 from ..functions import vec
+from ..functions.features import DISTANCES
 
-# Target distance of a relation; a relation without one is left out of training.
-RELATION_DISTANCE = {
-    "synonym": 0.1, "is-theme-of": 0.3, "describes": 0.4, "is-agent-of": 0.5, "is-patient-of": 0.5, "modifies-degree": 0.4, "modifies-manner": 0.4,
-    "coordinates-with": 0.3, "hypernym": 0.4, "hyponym": 0.4, "determines": 0.6, "related-to": 0.6, "antonym": 0.9,
-}
+RELATION_DISTANCE = DISTANCES["graph"]
 
 
 def relation_distance(relation: Column, table: dict[str, float] | None = None) -> Column:
