@@ -110,13 +110,13 @@ _DIST = "(SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{r}', {d}::DOUBLE)" for
 
 @registry.query(
     "relation_distances",
-    f"SELECT profile, d.relation, distance, count(*) AS edges, round(avg(confidence), 6) AS confidence FROM {_DIST} d JOIN ({EDGES}) e ON e.relation = d.relation GROUP BY 1, 2, 3",
+    f"SELECT profile, d.relation, distance, count(*) AS edges, round(avg(confidence), 9) AS confidence FROM {_DIST} d JOIN ({EDGES}) e ON e.relation = d.relation GROUP BY 1, 2, 3",
 )
 def relation_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges that have a target distance in each profile; others drop out of training."""
     d = spark.createDataFrame([(p, r, x) for p, t in fx.DISTANCES.items() for r, x in t.items()], "profile string, relation string, distance double")
     n = edges_of(spark, sf_dir).groupBy("relation").agg(F.count(F.lit(1)).alias("edges"), F.avg("confidence").alias("c"))
-    return d.join(n, "relation").select("profile", "relation", "distance", "edges", r6("c", "confidence"))
+    return d.join(n, "relation").select("profile", "relation", "distance", "edges", F.round("c", 9).alias("confidence"))
 
 
 @registry.query("adjective_scan", f"SELECT lemma, count(*) AS n FROM (SELECT unnest(lemmas) AS lemma FROM {SYN} WHERE pos = 'a') GROUP BY lemma ORDER BY n DESC, lemma LIMIT 2000")

@@ -43,10 +43,10 @@ def kg_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.statistics(edges_of(spark, sf_dir))
 
 
-@registry.query("kg_relations", f"SELECT relation, source_type, count(*) AS n, round(avg(confidence), 6) AS confidence FROM ({EDGES}) GROUP BY ALL")
+@registry.query("kg_relations", f"SELECT relation, source_type, count(*) AS n, round(avg(confidence), 9) AS confidence FROM ({EDGES}) GROUP BY ALL")
 def kg_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = edges_of(spark, sf_dir)
-    return e.groupBy("relation", "source_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("confidence"), 6).alias("confidence"))
+    return e.groupBy("relation", "source_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("confidence"), 9).alias("confidence"))
 
 
 @registry.query("kg_out", f"SELECT * FROM ({EDGES}) WHERE source = '{WORD}' AND relation = 'is-agent-of'")
