@@ -86,9 +86,14 @@ def frequent_ends(edges: DataFrame, least: int) -> DataFrame:
     return bounded_join(a, keep.withColumnRenamed("word", "target"), "target", "left_semi")
 
 
+def mean(c: Column | str, digits: int = 6) -> Column:
+    """Mean over a rounded sum, so that the order of addition cannot show in the result."""
+    return F.try_divide(F.round(F.sum(c), digits), F.count(c))
+
+
 def aggregate_edges(edges: DataFrame) -> DataFrame:
     """Mean confidence and number of each (source, relation, target)."""
-    return edges.groupBy("source", "relation", "target").agg(F.avg("confidence").alias("confidence"), F.count(F.lit(1)).alias("n"))
+    return edges.groupBy("source", "relation", "target").agg(mean("confidence").alias("confidence"), F.count(F.lit(1)).alias("n"))
 
 
 def _signature(links: DataFrame) -> tuple:

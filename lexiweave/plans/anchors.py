@@ -265,7 +265,7 @@ def representative_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"SELECT count(*) AS axes, min(size) AS min_size, max(size) AS max_size, round(avg(coherence), 6) AS mean_coherence, round(median(coherence), 6) AS median_coherence, count(DISTINCT axis)::DOUBLE / count(*) AS name_diversity FROM {_AXES}",
 )
 def axis_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = edges_of(spark, sf_dir).groupBy(F.col("relation").alias("axis")).agg(F.count(F.lit(1)).alias("size"), F.round(F.avg("confidence"), 9).alias("coherence"))
+    a = edges_of(spark, sf_dir).groupBy(F.col("relation").alias("axis")).agg(F.count(F.lit(1)).alias("size"), graph.mean("confidence").alias("coherence"))
     return a.agg(
         F.count(F.lit(1)).alias("axes"), F.min("size").alias("min_size"), F.max("size").alias("max_size"), r6(F.avg("coherence"), "mean_coherence"),
         r6(F.median("coherence"), "median_coherence"), F.try_divide(F.countDistinct("axis"), F.count(F.lit(1))).alias("name_diversity"),

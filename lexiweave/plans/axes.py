@@ -92,7 +92,7 @@ def cluster_antonym_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupBy(F.least("label", "l2").alias("c1"), F.greatest("label", "l2").alias("c2")).agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
 
 
-_AXES = f"(SELECT relation AS axis, count(*) AS size, count(DISTINCT source_type) + 1 AS poles, round(avg(confidence), 9) AS coherence FROM ({EDGES}) GROUP BY relation)"
+_AXES = f"(SELECT relation AS axis, count(*) AS size, count(DISTINCT source_type) + 1 AS poles, round(sum(confidence), 6) / count(*) AS coherence FROM ({EDGES}) GROUP BY relation)"
 
 
 @registry.query(
@@ -106,7 +106,7 @@ def axis_alloc(spark: SparkSession, sf_dir: str) -> DataFrame:
     The window runs over one row for each axis, of which there are few.
     """
     axes = edges_of(spark, sf_dir).groupBy(F.col("relation").alias("axis")).agg(
-        F.count(F.lit(1)).alias("size"), (F.countDistinct("source_type") + 1).alias("poles"), F.round(F.avg("confidence"), 9).alias("coherence")
+        F.count(F.lit(1)).alias("size"), (F.countDistinct("source_type") + 1).alias("poles"), graph.mean("confidence").alias("coherence")
     )
     w = Window.orderBy(F.desc("size"), F.desc("coherence"), "axis").rowsBetween(Window.unboundedPreceding, -1)
     first = F.lit(51) + F.coalesce(F.sum(F.col("poles") - 1).over(w), F.lit(0))

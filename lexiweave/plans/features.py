@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ..core.sizing import bounded_join
 from ..core.terms import relation_name, relation_name_sql, term, term_sql
 from ..functions import anchors, features as fx, vec
-from ..operators import lexicon, train
+from ..operators import graph, lexicon, train
 from . import Registry, table
 from .graph import EDGES, edges_of
 from .lexicon import EDG, SYN, SENSES, TAG, _PROFILE, _scores
@@ -110,13 +110,13 @@ _DIST = "(SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{r}', {d}::DOUBLE)" for
 
 @registry.query(
     "relation_distances",
-    f"SELECT profile, d.relation, distance, count(*) AS edges, round(avg(confidence), 9) AS confidence FROM {_DIST} d JOIN ({EDGES}) e ON e.relation = d.relation GROUP BY 1, 2, 3",
+    f"SELECT profile, d.relation, distance, count(*) AS edges, round(sum(confidence), 6) / count(*) AS confidence FROM {_DIST} d JOIN ({EDGES}) e ON e.relation = d.relation GROUP BY 1, 2, 3",
 )
 def relation_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges that have a target distance in each profile; others drop out of training."""
     d = spark.createDataFrame([(p, r, x) for p, t in fx.DISTANCES.items() for r, x in t.items()], "profile string, relation string, distance double")
-    n = edges_of(spark, sf_dir).groupBy("relation").agg(F.count(F.lit(1)).alias("edges"), F.avg("confidence").alias("c"))
-    return d.join(n, "relation").select("profile", "relation", "distance", "edges", F.round("c", 9).alias("confidence"))
+    n = edges_of(spark, sf_dir).groupBy("relation").agg(F.count(F.lit(1)).alias("edges"), graph.mean("confidence").alias("c"))
+    return d.join(n, "relation").select("profile", "relation", "distance", "edges", F.col("c").alias("confidence"))
 
 
 @registry.query("adjective_scan", f"SELECT lemma, count(*) AS n FROM (SELECT unnest(lemmas) AS lemma FROM {SYN} WHERE pos = 'a') GROUP BY lemma ORDER BY n DESC, lemma LIMIT 2000")
@@ -188,8 +188,6 @@ SELECT w1, w2, round((path + CASE WHEN coalesce(len(list_intersect(a.up, b.up)),
 )
 def word_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean of the signals that two words have: path similarity over senses, and shared hypernyms where there are any."""
-    from ..operators import graph
-
     up = graph.closure(lexicon.literal_edges(spark).where("kind = 'hypernym'"), "src", "dst")
     s = lexicon.senses(lexicon.literal_synsets(spark)).select("word", "synset_id")
     above = s.join(up, F.col("synset_id") == F.col("descendant")).select("word", "ancestor", "depth")

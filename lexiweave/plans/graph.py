@@ -43,10 +43,10 @@ def kg_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.statistics(edges_of(spark, sf_dir))
 
 
-@registry.query("kg_relations", f"SELECT relation, source_type, count(*) AS n, round(avg(confidence), 9) AS confidence FROM ({EDGES}) GROUP BY ALL")
+@registry.query("kg_relations", f"SELECT relation, source_type, count(*) AS n, round(sum(confidence), 6) / count(*) AS confidence FROM ({EDGES}) GROUP BY ALL")
 def kg_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = edges_of(spark, sf_dir)
-    return e.groupBy("relation", "source_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("confidence"), 9).alias("confidence"))
+    return e.groupBy("relation", "source_type").agg(F.count(F.lit(1)).alias("n"), graph.mean("confidence").alias("confidence"))
 
 
 @registry.query("kg_out", f"SELECT * FROM ({EDGES}) WHERE source = '{WORD}' AND relation = 'is-agent-of'")
@@ -83,9 +83,9 @@ def node_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.build_nodes(edges_of(spark, sf_dir))
 
 
-@registry.query("edge_aggregate", f"SELECT source, relation, target, round(avg(confidence), 9) AS confidence, count(*) AS n FROM ({EDGES}) GROUP BY 1, 2, 3")
+@registry.query("edge_aggregate", f"SELECT source, relation, target, round(sum(confidence), 6) / count(*) AS confidence, count(*) AS n FROM ({EDGES}) GROUP BY 1, 2, 3")
 def edge_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.aggregate_edges(edges_of(spark, sf_dir)).withColumn("confidence", F.round("confidence", 9))
+    return graph.aggregate_edges(edges_of(spark, sf_dir))
 
 
 @registry.query(
@@ -185,13 +185,13 @@ def cooccur_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.query(
     "edge_confidence",
-    f"""SELECT source, target, round(avg(greatest(0.3, round(1.0 - 0.1 * distance, 6)))::DOUBLE, 6) AS confidence
+    f"""SELECT source, target, round(sum(greatest(0.3, round(1.0 - 0.1 * distance, 6))::DOUBLE), 6) / count(*) AS confidence
 FROM ({COOCCUR}) WHERE length(source) >= 2 AND length(target) >= 2 AND greatest(0.3, round(1.0 - 0.1 * distance, 6)) >= 0.6 GROUP BY 1, 2""",
 )
 def edge_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = graph.confidence_by_distance(F.col("distance"))
     e = cooccur_rows(spark, sf_dir).where((F.length("source") >= 2) & (F.length("target") >= 2) & (c >= 0.6))
-    return e.groupBy("source", "target").agg(F.round(F.avg(c), 6).alias("confidence"))
+    return e.groupBy("source", "target").agg(graph.mean(c).alias("confidence"))
 
 
 @registry.query(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..core.sizing import spread
 from ..functions import text as fx
+from ..operators.graph import mean
 from . import Registry, table
 
 registry = Registry()
@@ -192,7 +193,7 @@ _RECORDS = "SELECT DISTINCT * FROM parse_record"
 @registry.query(
     "parse_statistics",
     f"""SELECT batch_id, count(*) AS total, count(*) FILTER (success) AS success, count(*) FILTER (NOT coalesce(success, false)) AS failed,
-  sum(num_triples) AS triples, round(avg(CASE WHEN success THEN parse_score END), 6) AS avg_score,
+  sum(num_triples) AS triples, round(sum(CASE WHEN success THEN parse_score END), 6) / count(CASE WHEN success THEN parse_score END) AS avg_score,
   (list(error ORDER BY sentence_id) FILTER (error IS NOT NULL))[1:10] AS errors
 FROM ({_RECORDS}) GROUP BY batch_id""",
 )
@@ -206,6 +207,6 @@ def parse_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count_if("success").alias("success"),
         F.count_if(~F.coalesce("success", F.lit(False))).alias("failed"),
         F.sum("num_triples").alias("triples"),
-        F.round(F.avg(F.when(F.col("success"), F.col("parse_score"))), 6).alias("avg_score"),
+        mean(F.when(F.col("success"), F.col("parse_score"))).alias("avg_score"),
         F.when(F.size(first) > 0, first).alias("errors"),
     )

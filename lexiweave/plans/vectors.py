@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..core.sizing import bounded_join
 from ..functions import vec
+from ..operators.graph import mean
 from . import Registry, table
 
 registry = Registry()
@@ -318,10 +319,10 @@ SELECT dim, round(separation, 6) + 0.0 AS separation, round(abs(separation) / s,
 def seed_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dimensions that separate two seed groups most (labels 0–1 from 2–3)."""
 
-    def mean(*labels: int) -> Column:
+    def level(*labels: int) -> Column:
         return F.avg(F.when(F.col("label").isin(*labels), F.col("v")))
 
-    d = long_form(spark, sf_dir).groupBy("dim").agg((mean(0, 1) - mean(2, 3)).alias("x"), F.stddev_pop("v").alias("s"))
+    d = long_form(spark, sf_dir).groupBy("dim").agg((level(0, 1) - level(2, 3)).alias("x"), F.stddev_pop("v").alias("s"))
     # the window runs over one row for each dimension
     ranked = d.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.abs("x")), "dim"))).where("rank <= 5")
     return ranked.select("dim", r6("x", "separation"), r6(F.try_divide(F.abs("x"), F.col("s")), "strength"), "rank")
@@ -496,13 +497,13 @@ def activation_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.query(
     "dimension_reports",
     """WITH a AS (SELECT DISTINCT report_id, dim_index, word, activation FROM dim_activation WHERE activation IS NOT NULL AND isfinite(activation))
-SELECT report_id, dim_index, count(*) AS words, round(avg(activation), 6) + 0.0 AS mean, round(var_pop(activation), 6) AS variance,
+SELECT report_id, dim_index, count(*) AS words, round(sum(activation), 6) / count(*) AS mean, round(var_pop(activation), 6) AS variance,
   round(min(activation), 6) + 0.0 AS min_val, round(max(activation), 6) + 0.0 AS max_val, dim_index < 51 AS is_anchor FROM a GROUP BY 1, 2""",
 )
 def dimension_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics that belong in ``dimension_stats``, from the activations themselves."""
     a = table(spark, sf_dir, "dim_activation").select("report_id", "dim_index", "word", "activation").where(F.abs("activation") < float("inf")).distinct()
     return a.groupBy("report_id", "dim_index").agg(
-        F.count(F.lit(1)).alias("words"), r6(F.avg("activation"), "mean"), r6(F.var_pop("activation"), "variance"),
+        F.count(F.lit(1)).alias("words"), mean("activation").alias("mean"), r6(F.var_pop("activation"), "variance"),
         r6(F.min("activation"), "min_val"), r6(F.max("activation"), "max_val"),
     ).withColumn("is_anchor", F.col("dim_index") < 51)
