@@ -10,7 +10,7 @@ from ..core.terms import term, term_sql
 from ..functions import anchors, vec
 from ..operators import graph
 from . import Registry, table
-from .axes import _LINKS, _AXES, HUB, PAIRS, _links, opposites
+from .axes import _LINKS, _AXES, HUB, MIN_SHARED, PAIRS, _links, opposites, written_opposites
 from .graph import EDGES, edges_of
 from .vectors import E, LONG, PAIR_DIMS, PAIRS as VEC_PAIRS, POLARITY_DIMS, _NOT_A, long_form, pair_dims, r6, vectors
 
@@ -177,7 +177,7 @@ r AS (SELECT u AS node, u AS seen FROM u UNION SELECT r.node, u.v FROM r JOIN u
 
 
 def poles(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    links = materialise(_links(opposites(spark, sf_dir)), "pole-links")
+    links = materialise(_links(written_opposites(spark, sf_dir)), "pole-links")
     c = graph.components(links.where("shared >= 4"), "a", "b").withColumnRenamed("component", "pole")
     return links, materialise(c, "poles")
 
@@ -223,8 +223,8 @@ def axis_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     Pair counts between poles are aggregated by Spark; only those of opposing poles come to the
     driver for the greedy pass, and their number is checked before.
     """
-    p = opposites(spark, sf_dir)
-    c = materialise(graph.components(_links(p).where("shared >= 3"), "a", "b").withColumnRenamed("component", "pole"), "poles")
+    p = written_opposites(spark, sf_dir)
+    c = materialise(graph.components(_links(p).where(F.col("shared") >= MIN_SHARED), "a", "b").withColumnRenamed("component", "pole"), "poles")
     j = bounded_join(bounded_join(p, c.toDF("w1", "p1"), "w1"), c.toDF("w2", "p2"), "w2").where("p1 <> p2")
     n = j.groupBy(F.least("p1", "p2").alias("a"), F.greatest("p1", "p2").alias("b")).agg(F.count(F.lit(1)).alias("n"))
     if not rows_at_most(n, MAX_POLES):

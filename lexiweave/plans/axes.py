@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from ..core.session import materialise, task_count
 from ..core.sizing import bounded_join
 from ..operators import cluster, graph
 from . import Registry, table
@@ -23,18 +24,34 @@ def opposites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.least("source", "target").alias("w1"), F.greatest("source", "target").alias("w2")).distinct()
 
 
+def written_opposites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, written once for the queries that read it several times."""
+    return materialise(opposites(spark, sf_dir), "opposites")
+
+
 _BOTH = f"b AS (SELECT w1 AS w, w2 AS x FROM {PAIRS} UNION ALL SELECT w2, w1 FROM {PAIRS}), d AS (SELECT x, count(*) AS n FROM b GROUP BY x)"
-#: Words with more opposites than this link nothing: they are opposites of everything.
+#: Only the SQL leaves out words with more opposites than this; the queries count all words.
 HUB = 12
+#: Shared opposites that put two words into one pole, as in the reference; ``anchors.poles`` asks for more.
+MIN_SHARED = 1
+#: Opposites of one word in a block; pairs are made between blocks, so that a hub's pairs are spread over tasks.
+PAIR_BLOCK = 256
 
 
 def _links(p: DataFrame) -> DataFrame:
-    """Pairs of words that share an opposite and are no opposites, by a self-join on the shared word, hubs left out."""
+    """Pairs of words that share an opposite and are no opposites, with the exact number of shared opposites.
+
+    A self-join on the shared word. The opposites of a hub are cut into blocks and every pair of
+    blocks is a join key of its own; a pair of words meets in one of them only. Counts add up map-side.
+    """
     both = p.unionByName(p.select(F.col("w2").alias("w1"), F.col("w1").alias("w2")))
-    n = both.groupBy("w2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= HUB)
-    kept = bounded_join(both, n.select("w2"), "w2", "left_semi")
-    a, b = kept.select("w2", F.col("w1").alias("a")), kept.select("w2", F.col("w1").alias("b"))
-    shared = a.join(b, "w2").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    blocks = both.groupBy("w2").agg(F.ceil(F.count(F.lit(1)) / PAIR_BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("w1"), F.col("blocks")).cast("int")
+    cut = bounded_join(both, blocks, "w2").select("w2", "w1", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    tasks = task_count(p.sparkSession)
+    a = cut.select("w2", F.col("own").alias("i"), F.col("other").alias("j"), F.col("w1").alias("a")).repartition(tasks, "w2", "i", "j")
+    b = cut.select("w2", F.col("other").alias("i"), F.col("own").alias("j"), F.col("w1").alias("b")).repartition(tasks, "w2", "i", "j")
+    shared = a.join(b.hint("shuffle_hash"), ["w2", "i", "j"]).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
     return shared.join(p, (F.col("a") == p["w1"]) & (F.col("b") == p["w2"]), "left_anti")
 
 
@@ -44,7 +61,7 @@ l AS (SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM {PAIRS} z WHERE z.w1 = s.a
 
 @registry.query("shared_neighbor_pole_edges", f"WITH {_LINKS} SELECT a, b, shared FROM l")
 def shared_neighbor_pole_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _links(opposites(spark, sf_dir))
+    return _links(written_opposites(spark, sf_dir))
 
 
 @registry.query(
@@ -53,7 +70,7 @@ def shared_neighbor_pole_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 r AS (SELECT u AS node, u AS seen FROM e UNION SELECT r.node, e.v FROM r JOIN e ON r.seen = e.u) SELECT node, min(seen) AS component FROM r GROUP BY node""",
 )
 def pole_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.components(_links(opposites(spark, sf_dir)).where("shared >= 2"), "a", "b")
+    return graph.components(_links(written_opposites(spark, sf_dir)).where(F.col("shared") >= MIN_SHARED), "a", "b")
 
 
 @registry.query(
