@@ -58,7 +58,7 @@ WHERE embeddings IS NOT NULL AND word IS NOT NULL AND len(embeddings) = 64 AND l
 
 def word_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = table(spark, sf_dir, "word_vector").select(
-        "word_id", "word", F.substring(F.regexp_replace("word", r"_wn\..*$", ""), 1, 2).alias("base"), F.col("embeddings").cast("array<double>").alias("v"), "checkpoint"
+        "word_id", "word", F.regexp_replace("word", r"_wn\..*$", "").alias("base"), F.col("embeddings").cast("array<double>").alias("v"), "checkpoint"
     )
     good = F.col("word").isNotNull() & (F.size("v") == 64) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x))
     return w.where(good).distinct()
@@ -71,7 +71,7 @@ SELECT a.word_id AS id1, b.word_id AS id2, a.base, round(CASE WHEN list_sum(list
   round(list_distance(a.v, b.v), 6) AS distance FROM w a JOIN w b ON a.base = b.base AND a.k < b.k WHERE a.k <= 5 AND b.k <= 5""",
 )
 def sense_separation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cosine and distance among the first five tagged words of a stem (two letters); the prefix search is an equi-join."""
+    """Cosine and distance among the first five senses of a word; the SQL takes words of the same first two letters instead."""
     w = word_vectors(spark, sf_dir).withColumn("k", F.row_number().over(Window.partitionBy("base").orderBy("word", "word_id"))).where("k <= 5")
     b = w.select("base", F.col("word_id").alias("id2"), F.col("k").alias("k2"), F.col("v").alias("v2"))
     p = w.select("base", F.col("word_id").alias("id1"), "k", "v").join(b, "base").where("k < k2")

@@ -74,3 +74,13 @@ def test_close_poles_of_hubs(spark, opposites, triples):
     shared = Counter((w, pole[x]) for a, b in links for w, x in ((a, b), (b, a)) if x in pole and pole.get(w) != pole[x])
     want = sorted((w, p, n, round(n / size[p], 6)) for (w, p), n in shared.items() if n >= 0.7 * size[p])
     assert want and sorted(run(spark, triples, "axis_expansion")) == want
+
+
+def test_senses_of_one_word(spark, tmp_path):
+    """Seven senses of one word, of which five are compared, and words that only begin alike."""
+    names = [f"bank_wn.{i:02}_n" for i in range(7)] + ["bat", "bat_wn.01_v", "banker", "ba"]
+    rows = [(i, w, [float(i + 1)] * 32 + [1.0] * 32, "ck") for i, w in enumerate(names)]
+    spark.createDataFrame(rows, "word_id long, word string, embeddings array<float>, checkpoint string").write.parquet(f"{tmp_path}/word_vector.parquet")
+    got = sorted((r[2], r[0], r[1]) for r in run(spark, tmp_path, "sense_separation"))
+    assert got == [("bank", i, j) for i, j in combinations(range(5), 2)] + [("bat", 7, 8)]
+    assert [r[:3] for r in run(spark, tmp_path, "checkpoint_compare")] == [("ck", len(names), 4)]
