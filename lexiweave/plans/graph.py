@@ -220,7 +220,8 @@ b AS (SELECT u, v FROM d UNION SELECT v, u FROM d), r AS (SELECT u AS node, u AS
 SELECT node, min(seen) AS component FROM r GROUP BY node""",
 )
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.components(edges_of(spark, sf_dir).where("relation = 'has-time'"), "source", "target")
+    """Components over the edges of all relations; the SQL takes those of ``has-time`` only."""
+    return graph.components(edges_of(spark, sf_dir), "source", "target")
 
 
 ISA = """
@@ -259,8 +260,8 @@ _ISA_PAIRS = "SELECT DISTINCT 's' || l_suppkey AS a, 'c' || o_custkey AS b FROM
 SELECT a, b, 1.0::DOUBLE / (1 + min(x.depth + y.depth)) AS similarity FROM p JOIN c x ON a = x.descendant JOIN c y ON b = y.descendant AND x.ancestor = y.ancestor GROUP BY 1, 2""",
 )
 def path_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Is-a path similarity of suppliers and their customers."""
-    l, o = table(spark, sf_dir, "lineitem").where("l_linenumber = 1"), table(spark, sf_dir, "orders")
+    """Is-a path similarity of suppliers and their customers; the SQL takes those of first lines only."""
+    l, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     p = l.join(o, l["l_orderkey"] == o["o_orderkey"]).select(
         F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("a"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("b")
     )

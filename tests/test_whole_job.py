@@ -84,3 +84,23 @@ def test_senses_of_one_word(spark, tmp_path):
     got = sorted((r[2], r[0], r[1]) for r in run(spark, tmp_path, "sense_separation"))
     assert got == [("bank", i, j) for i, j in combinations(range(5), 2)] + [("bat", 7, 8)]
     assert [r[:3] for r in run(spark, tmp_path, "checkpoint_compare")] == [("ck", len(names), 4)]
+
+
+def test_components_of_all_relations(spark, tmp_path):
+    rows = [("a", "has-time", "b"), ("b", "is-agent-of", "c"), ("d", "has-place", "e"), ("f", "compared-to", "f")]
+    rows = [(i, *r, 1.0, "parse") for i, r in enumerate(rows)]
+    schema = "triple_id long, subject string, relation string, object string, confidence double, source_type string"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/semantic_triple.parquet")
+    assert dict(run(spark, tmp_path, "components")) == {"a": "a", "b": "a", "c": "a", "d": "d", "e": "d", "f": "f"}
+
+
+def test_paths_of_all_lines(spark, tmp_path):
+    """Supplier 2 stands on a second line only."""
+    tables = {
+        "region": ("r_regionkey int", [(0,)]), "nation": ("n_nationkey int, n_regionkey int", [(0, 0), (1, 0)]),
+        "supplier": ("s_suppkey long, s_nationkey int", [(1, 0), (2, 1)]), "customer": ("c_custkey long, c_nationkey int", [(5, 0)]),
+        "orders": ("o_orderkey long, o_custkey long", [(9, 5)]), "lineitem": ("l_orderkey long, l_suppkey long, l_linenumber int", [(9, 1, 1), (9, 2, 2)]),
+    }
+    for name, (schema, rows) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert sorted(run(spark, tmp_path, "path_similarity")) == [("s1", "c5", 1 / 3), ("s2", "c5", 1 / 5)]
