@@ -204,7 +204,7 @@ def linkage_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
         ids, x = _unit_rows(t)
         d = np.clip(1 - x @ x.T, 0, None)
         merges = cluster.linkage(d)
-        h, s = cluster.best_height(d, merges, 2, max(2, len(ids) // 2), 40)
+        h, s = cluster.best_height(d, merges, 2, max(2, len(ids) // 2))
         n = len(ids)
         return pa.table(
             {"label": t.column("label").combine_chunks()[:n], "vec_id": ids, "cluster": cluster.cut(n, merges, h).astype(np.int32), "height": np.full(n, h), "silhouette": np.full(n, s)}

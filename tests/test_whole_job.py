@@ -3,9 +3,12 @@
 from collections import Counter
 from itertools import combinations
 
+import numpy as np
 import pytest
 
+from lexiweave.operators import cluster
 from lexiweave.plans import axes, catalog
+from lexiweave.plans.vectors import vectors
 
 ENTRIES = catalog.entries()
 
@@ -104,3 +107,14 @@ def test_paths_of_all_lines(spark, tmp_path):
     for name, (schema, rows) in tables.items():
         spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
     assert sorted(run(spark, tmp_path, "path_similarity")) == [("s1", "c5", 1 / 3), ("s2", "c5", 1 / 5)]
+
+
+def test_linkage_tries_all_heights(spark, data):
+    """The cut of a whole group is the best of the reference's 100 heights."""
+    rows = sorted(vectors(spark, data).where("label = 0").select("vec_id", "v").collect())
+    x = np.array([r.v for r in rows])
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    d = np.clip(1 - x @ x.T, 0, None)
+    height, silhouette = cluster.best_height(d, cluster.linkage(d), 2, len(rows) // 2, 100)
+    got = ENTRIES["linkage_clusters"].run(spark, data).where("label = 0").select("height", "silhouette").distinct().collect()
+    assert [tuple(r) for r in got] == [(pytest.approx(height), pytest.approx(silhouette))]
