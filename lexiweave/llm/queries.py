@@ -16,7 +16,7 @@ NEIGHBOURS = 5
 _USABLE = """
 SELECT DISTINCT word_id, embeddings FROM word_vector
 WHERE embeddings IS NOT NULL AND len(embeddings) = 64
-  AND len(list_filter(embeddings, lambda x: x IS NULL OR isnan(x))) = 0 AND len(list_filter(embeddings, lambda x: x <> 0)) > 0"""
+  AND len(list_filter(embeddings, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embeddings, lambda x: x <> 0)) > 0"""
 
 
 def _similar(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +38,12 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.least("id", "neighbour").alias("word_id_a"), F.greatest("id", "neighbour").alias("word_id_b")).distinct()
 
 
+@registry.query("p1_recall")
+def p1_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hashing chosen for these vectors, with its recall against brute force over all rows for a bounded sample."""
+    return knn.measured(table(spark, sf_dir, "word_vector"), "word_id", "embeddings", DIMS, NEIGHBOURS)
+
+
 _ITEMS = f"""
 SELECT DISTINCT context_id, x AS item FROM (
   SELECT context_id, unnest(list_transform(list_append(coalesce(neighbors, []::VARCHAR[]), word), lambda y: {term_sql('y')})) AS x

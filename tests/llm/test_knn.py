@@ -63,3 +63,35 @@ def test_fewer_vectors_than_asked(spark):
 
 def test_empty(spark):
     assert knn.similar_vectors(spark.createDataFrame([], SCHEMA), "word_id", "embeddings", 2).collect() == []
+
+
+def spread_data(kind, n=3000, dims=64):
+    rng = np.random.default_rng(9)
+    if kind == "gauss":
+        return rng.standard_normal((n, dims)).astype(np.float32)
+    noise, mean = kind
+    centres = rng.standard_normal((n // 15, dims))
+    return (centres[rng.integers(0, len(centres), n)] + noise * rng.standard_normal((n, dims)) + mean).astype(np.float32)
+
+
+@pytest.mark.parametrize("kind, most", [((0.25, 0.0), 0.2), ((0.6, 0.0), 0.5), ((1.0, 0.0), 0.5), ((0.25, 5.0), 0.2), ("gauss", 0.5)])
+def test_recall_on_other_data(spark, kind, most):
+    x = spread_data(kind)
+    df = spark.createDataFrame([(i, v.tolist(), "", "") for i, v in enumerate(x)], SCHEMA)
+    chosen = knn.measured(df, "word_id", "embeddings", 64).first()
+    assert chosen.recall >= 0.95 and chosen.compared_share <= most
+    got = {}
+    for r in knn.similar_vectors(df, "word_id", "embeddings", 64).collect():
+        got.setdefault(r.id, set()).add(r.neighbour)
+    want = brute(np.arange(len(x)), x, 5)
+    assert sum(len(got.get(i, set()) & set(w)) for i, w in want.items()) / (5 * len(x)) >= 0.95
+
+
+def test_a_bucket_of_any_size_is_ranked_exactly(spark):
+    x = spread_data("gauss", 400, 8)
+    df = spark.createDataFrame([(i, v.tolist(), "", "") for i, v in enumerate(x)], SCHEMA)
+    got = {}
+    for r in knn.similar_vectors(df, "word_id", "embeddings", 8, 5, knn.Hashing.whole(8, block=30)).collect():
+        got.setdefault(r.id, {})[r["rank"]] = r.neighbour
+    want = brute(np.arange(400), x, 5)
+    assert {i: [g[k] for k in range(1, 6)] for i, g in got.items()} == want
