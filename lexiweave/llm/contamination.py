@@ -1,26 +1,34 @@
 """Evaluation texts leaking into training texts.
 
 The normalised word n-grams of the evaluation items form a hash set that is broadcast if its
-size is within a bound. Workers slide a window over every corpus text, look its rolling hash
-up in the set and verify hits word by word. Above the bound, windows and n-grams are joined
-by a shuffle instead.
+rows and bytes are within bounds. Workers slide a window over every corpus text, look its hash
+up in the set and verify hits word by word. Above the bounds a bit filter of bounded size takes
+the set's place: only windows that pass it are joined with the n-grams by a shuffle.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from ..core.sizing import rows_at_most
+from ..core.session import materialise
+from ..core.sizing import bounded_join, fits
 
-#: Most evaluation n-grams that are broadcast; each takes about 200 bytes in a worker.
+#: Most evaluation n-grams that are broadcast, and their most bytes.
 MAX_BROADCAST_NGRAMS = 500_000
+MAX_BROADCAST_BYTES = 64 << 20
+#: Most bits of the filter that stands for a larger set (64 MB); two bits are tested for each window.
+MAX_FILTER_BITS = 1 << 29
+#: Bits of one part of the filter, which one task makes.
+FILTER_PART = 1 << 23
+#: Words whose hashes a worker remembers.
+_REMEMBERED = 500_000
 _WORD = re.compile(r"[^\W_]+")
 _MARKS = re.compile("[̀-ͯ]+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -53,54 +61,118 @@ def word_spans(text: str) -> list[tuple[int, int]]:
     return [(owner[m.start()][0], owner[m.end() - 1][1]) for m in _WORD.finditer("".join(pieces))]
 
 
+_known_words: dict[str, int] = {}
+
+
+def _codes(ws: list[str]) -> list[int]:
+    """A 63-bit number for each word, the same in all workers."""
+    get, out = _known_words.get, []
+    for w in ws:
+        c = get(w)
+        if c is None:
+            if len(_known_words) >= _REMEMBERED:
+                _known_words.clear()
+            c = _known_words[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) >> 1
+        out.append(c)
+    return out
+
+
+def window_hashes(docs: list[list[str]], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, position, hash) of every window of ``n`` words that lies within one text."""
+    sizes = np.array([len(d) for d in docs], np.int64)
+    total = int(sizes.sum())
+    if total < n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    c = np.fromiter((x for d in docs for x in _codes(d)), np.uint64, total)
+    m = total - n + 1
+    h = np.zeros(m, np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(n):
+            h ^= c[j : j + m]
+            h *= _ODD
+            h ^= h >> np.uint64(29)
+    ends = np.cumsum(sizes)
+    doc = np.repeat(np.arange(len(docs)), sizes)[:m]
+    at = np.flatnonzero(np.arange(m) + n <= ends[doc])
+    return doc[at], at - (ends - sizes)[doc[at]], h[at]
+
+
+class BitFilter:
+    """A set of hashes as bits: no false negatives, few false positives. ``bits`` is a power of two."""
+
+    def __init__(self, packed: np.ndarray):
+        self.packed = packed
+        self.shift = np.uint64(64 - (len(packed) * 8).bit_length() + 1)
+
+    @staticmethod
+    def size(hashes: int) -> int:
+        """Bits for so many hashes: at least sixteen for each, up to the bound."""
+        return min(MAX_FILTER_BITS, max(FILTER_PART, 1 << (16 * hashes).bit_length()))
+
+    @staticmethod
+    def places(h: np.ndarray, shift: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+        with np.errstate(over="ignore"):
+            return h >> shift, (h * _ODD) >> shift
+
+    @staticmethod
+    def of(h: np.ndarray) -> "BitFilter":
+        f = BitFilter(np.zeros(BitFilter.size(len(h)) // 8, np.uint8))
+        for p in BitFilter.places(h, f.shift):
+            np.bitwise_or.at(f.packed, p >> np.uint64(3), np.left_shift(np.uint8(1), (p & np.uint64(7)).astype(np.uint8)))
+        return f
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        """Positions of the hashes that may be in the set."""
+        a, b = BitFilter.places(h, self.shift)
+        at = np.flatnonzero((self.packed[a >> np.uint64(3)] >> (a & np.uint64(7)).astype(np.uint8)) & np.uint8(1))
+        b = b[at]
+        return at[((self.packed[b >> np.uint64(3)] >> (b & np.uint64(7)).astype(np.uint8)) & np.uint8(1)).astype(bool)]
+
+
 class NgramSet:
-    """Word n-grams of the items: sorted hashes, and the items of each n-gram."""
+    """Word n-grams of the items: sorted hashes, the n-grams as text, and the items of each, in flat arrays."""
+
+    def __init__(self, items: list[tuple[object, list[str]]], n: int):
+        self._fill([(" ".join(ws[i : i + n]), item) for item, ws in items for i in range(len(ws) - n + 1)], n)
+
+    @staticmethod
+    def of_grams(rows: list[tuple[str, object]], n: int) -> "NgramSet":
+        made = NgramSet([], n)
+        made._fill(rows, n)
+        return made
 
-    def __init__(self, items: list[tuple[int, list[str]]], n: int):
+    def _fill(self, rows: list[tuple[str, object]], n: int) -> None:
         self.n = n
-        self.ids: dict[str, int] = {}
-        grams: dict[tuple[int, ...], set] = defaultdict(set)
-        for item, ws in items:
-            codes = [self.ids.setdefault(w, len(self.ids)) for w in ws]
-            for i in range(len(codes) - n + 1):
-                grams[tuple(codes[i : i + n])].add(item)
-        self.grams = {g: tuple(sorted(s)) for g, s in grams.items()}
-        table = np.array(list(self.grams), np.int64).reshape(-1, n)
-        self.hashes = np.unique(self._hash(table)) if len(table) else np.zeros(0, np.uint64)
-
-    def _hash(self, rows: np.ndarray) -> np.ndarray:
-        h = np.zeros(len(rows), np.uint64)
-        for column in rows.T:
-            h = (h ^ (column.astype(np.uint64) + np.uint64(1))) * _ODD
-            h ^= h >> np.uint64(29)
-        return h
+        grams: dict[str, list] = {}
+        for gram, item in rows:
+            grams.setdefault(gram, []).append(item)
+        texts = sorted(grams)
+        hashes = window_hashes([t.split(" ") for t in texts], n)[2]
+        order = np.argsort(hashes, kind="stable")
+        self.hashes = hashes[order]
+        raw = [texts[i].encode("utf-8", "surrogatepass") for i in order]
+        self.text = b"".join(raw)
+        self.ends = np.cumsum([len(r) for r in raw], dtype=np.int64)
+        self.items = [i for o in order for i in sorted(set(grams[texts[o]]))]
+        self.item_ends = np.cumsum([len(set(grams[texts[o]])) for o in order], dtype=np.int64)
+        self.filter = BitFilter.of(self.hashes)
 
     def find(self, docs: list[list[str]]) -> list[tuple[int, int, tuple]]:
-        """(document, word position, items) of each window that is an item's n-gram."""
-        if not self.grams:
-            return []
-        n, get = self.n, self.ids.get
-        codes: list[int] = []
-        starts = []
-        for ws in docs:
-            starts.append(len(codes))
-            codes += [get(w, -1) for w in ws]
-            codes.append(-1)  # no window crosses texts
-        c = np.array(codes, np.int64)
-        if len(c) < n:
+        """(document, word position, items) of each window that is an item's n-gram, verified word by word."""
+        if not len(self.hashes):
             return []
-        known = np.concatenate(([0], np.cumsum(c >= 0)))
-        at = np.flatnonzero(known[n:] - known[:-n] == n)
-        if not len(at):
-            return []
-        rows = c[at[:, None] + np.arange(n)]
-        near = np.isin(self._hash(rows), self.hashes)
+        doc, pos, h = window_hashes(docs, self.n)
+        at = self.filter.has(h)
+        first = np.searchsorted(self.hashes, h[at])
         out = []
-        for p, row in zip(at[near].tolist(), rows[near].tolist()):
-            items = self.grams.get(tuple(row))
-            if items:
-                doc = int(np.searchsorted(starts, p, "right")) - 1
-                out.append((doc, p - starts[doc], items))
+        for d, p, x, g in zip(doc[at].tolist(), pos[at].tolist(), h[at], first.tolist()):
+            gram = None
+            while g < len(self.hashes) and self.hashes[g] == x:
+                gram = gram or " ".join(docs[d][p : p + self.n]).encode("utf-8", "surrogatepass")
+                if self.text[self.ends[g - 1] if g else 0 : self.ends[g]] == gram:
+                    out.append((d, p, tuple(self.items[self.item_ends[g - 1] if g else 0 : self.item_ends[g]])))
+                    break
+                g += 1
         return out
 
 
@@ -125,16 +197,16 @@ def leaks(
     item_rows = items.select(F.col(item_key).alias("item"), F.col(item_text).alias("t")).where("item IS NOT NULL AND t IS NOT NULL").distinct()
     doc_rows = docs.select(F.col(doc_key).alias("doc"), F.col(text).alias("t")).where("doc IS NOT NULL AND t IS NOT NULL")
     schema = T.StructType([T.StructField("doc", dk), T.StructField("item", ik), T.StructField("pos", T.IntegerType())])
-    # no text has more windows than half its characters
-    most = item_rows.agg(F.sum(F.length("t") / 2)).first()[0] or 0
-    if most <= max_broadcast or rows_at_most(_windows(item_rows, "item", ik, n), max_broadcast):
-        shared = docs.sparkSession.sparkContext.broadcast(NgramSet([(r.item, words(r.t)) for r in item_rows.toLocalIterator()], n))
+    # written once: items without a window of n words leave nothing here, however many there are
+    grams = materialise(_windows(item_rows, "item", ik, n).select("gram", "item").distinct(), "leak-grams")
+    if fits(grams, max_broadcast, MAX_BROADCAST_BYTES):
+        shared = docs.sparkSession.sparkContext.broadcast(NgramSet.of_grams([(r.gram, r.item) for r in grams.toLocalIterator()], n))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            grams = shared.value
+            known = shared.value
             for batch in batches:
                 keys = batch.column(0)
-                found = [(d, i, p) for d, p, its in grams.find([words(t) for t in batch.column(1).to_pylist()]) for i in its]
+                found = [(d, i, p) for d, p, its in known.find([words(t) for t in batch.column(1).to_pylist()]) for i in its]
                 if found:
                     d, i, p = zip(*found)
                     yield pa.RecordBatch.from_arrays(
@@ -143,24 +215,66 @@ def leaks(
 
         hits = doc_rows.mapInArrow(run, schema)
     else:
-        left, right = _windows(doc_rows, "doc", dk, n), _windows(item_rows, "item", ik, n).drop("pos").distinct()
-        hits = left.join(right.hint("shuffle_hash"), "gram").select("doc", "item", "pos")
+        passed = docs.sparkSession.sparkContext.broadcast(_bit_filter(grams, n))
+        near = materialise(_windows(doc_rows, "doc", dk, n, passed), "leak-windows")
+        hits = bounded_join(near, grams, "gram", bound=max_broadcast, spread=["doc", "pos"]).select("doc", "item", "pos")
     hits = hits.distinct()
     if not pos:
         hits = hits.groupBy("doc", "item").agg(F.count(F.lit(1)).alias("windows"))
     return hits.withColumnsRenamed({"doc": doc_key, "item": item_key})
 
 
-def _windows(rows: DataFrame, key: str, kind: T.DataType, n: int) -> DataFrame:
-    """Every window of n words as one string, with its position."""
+def _bit_filter(grams: DataFrame, n: int) -> BitFilter:
+    """The filter of all n-grams, made in parts; the driver gets its bits, of which there are at most ``MAX_FILTER_BITS``."""
+    bits = BitFilter.size(grams.count())
+    shift, part_bits = BitFilter(np.zeros(bits // 8, np.uint8)).shift, min(bits, FILTER_PART)
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = window_hashes([g.split(" ") for g in b.column(0).to_pylist()], n)[2]
+            p = np.concatenate(BitFilter.places(h, shift)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(p // part_bits), pa.array(p % part_bits)], names=["part", "place"])
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = -1, np.zeros(part_bits // 8, np.uint8)
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([held.tobytes()], pa.binary())], names=["part", "bits"])
+
+        for b in batches:
+            parts, place = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for x in np.unique(parts).tolist():
+                if x != part:
+                    if part >= 0:
+                        yield done()
+                    part, held = x, np.zeros(part_bits // 8, np.uint8)
+                p = place[parts == x]
+                np.bitwise_or.at(held, p >> 3, np.left_shift(np.uint8(1), (p & 7).astype(np.uint8)))
+        if part >= 0:
+            yield done()
+
+    spread = grams.select("gram").mapInArrow(places, "part long, place long").repartition("part").sortWithinPartitions("part")
+    packed = np.zeros(bits // 8, np.uint8)
+    for r in spread.mapInArrow(fill, "part long, bits binary").collect():  # at most MAX_FILTER_BITS / FILTER_PART rows
+        packed[r.part * (part_bits // 8) :][: part_bits // 8] = np.frombuffer(bytes(r.bits), np.uint8)
+    return BitFilter(packed)
+
+
+def _windows(rows: DataFrame, key: str, kind: T.DataType, n: int, passed=None) -> DataFrame:
+    """Every window of n words as one string, with its position; with ``passed`` (a broadcast filter) only those it lets through."""
     schema = T.StructType([T.StructField(key, kind), T.StructField("gram", T.StringType()), T.StructField("pos", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k, t in zip(batch.column(0), batch.column(1).to_pylist()):
                 ws = words(t)
-                for a in range(0, len(ws) - n + 1, 10_000):
-                    at = range(a, min(a + 10_000, len(ws) - n + 1))
+                if passed is None:
+                    every = np.arange(max(0, len(ws) - n + 1))
+                else:
+                    _, pos, h = window_hashes([ws], n)
+                    every = pos[passed.value.has(h)]
+                for a in range(0, len(every), 10_000):
+                    at = every[a : a + 10_000].tolist()
                     grams = [" ".join(ws[i : i + n]) for i in at]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([k.as_py()] * len(grams), k.type), pa.array(grams), pa.array(at, pa.int32())], names=[key, "gram", "pos"]
@@ -182,9 +296,10 @@ def remove_leaks(
         raise ValueError("mode is spans or documents")
     hits = leaks(docs, items, doc_key, text, n=n, pos=True, **names)
     if mode == "documents":
-        return docs.join(hits.select(doc_key).distinct(), doc_key, "left_anti")
+        return bounded_join(docs, materialise(hits.select(doc_key).distinct(), "leak-documents"), doc_key, "left_anti")
     cut = hits.groupBy(F.col(doc_key).alias("__doc")).agg(F.array_sort(F.collect_set("pos")).alias("__at"))
-    joined = docs.join(cut, docs[doc_key] == F.col("__doc"), "left").drop("__doc")
+    cut = materialise(cut.withColumnRenamed("__doc", doc_key), "leak-cuts")
+    joined = bounded_join(docs, cut, doc_key, "left")
 
     @F.pandas_udf("text string, removed_chars long")
     def without(texts, at):

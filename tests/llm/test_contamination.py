@@ -2,6 +2,7 @@ import random
 import re
 import unicodedata
 
+import numpy as np
 import pytest
 
 from lexiweave.llm import contamination as ct
@@ -56,6 +57,22 @@ def test_windows_do_not_cross_texts():
     assert grams.find([["x"], "z a b c d a b c d".split()]) == [(1, 1, (1,)), (1, 5, (1,))]
 
 
+def test_filter_keeps_every_hash_and_few_others():
+    rng = np.random.default_rng(2)
+    h = rng.integers(0, 2**63, 20_000, dtype=np.uint64) * np.uint64(2)
+    f = ct.BitFilter.of(h)
+    assert len(f.has(h)) == len(h)
+    assert len(f.has(rng.integers(0, 2**63, 100_000, dtype=np.uint64))) < 1000
+
+
+def test_parts_of_the_filter_make_the_whole(spark, monkeypatch):
+    monkeypatch.setattr(ct, "FILTER_PART", 1 << 10)
+    grams = [" ".join(f"w{i * 7 + j}" for j in range(4)) for i in range(500)]
+    made = ct._bit_filter(spark.createDataFrame([(g, 1) for g in grams], "gram string, item long"), 4)
+    want = ct.BitFilter.of(ct.window_hashes([g.split() for g in grams], 4)[2])
+    assert len(made.packed) > (1 << 10) // 8 and (made.packed == want.packed).all()
+
+
 def test_word_spans_follow_the_text():
     t = "Café  ﬁne-№5 “Ünder_score”"
     assert [ct.normal_form(t[a:b]) for a, b in ct.word_spans(t)] == ct.words(t)
