@@ -50,6 +50,17 @@ def test_against_brute_force(spark, monkeypatch, together, lift, bound):
         assert r.lift == pytest.approx(want[r.item_a, r.item_b][4]) and r.pmi == pytest.approx(math.log(r.lift))
 
 
+@pytest.mark.parametrize("together, lift, bound", [(1, 0.0, None), (2, 1.5, 0)])
+def test_baskets_cut_into_blocks(spark, monkeypatch, together, lift, bound):
+    if bound is not None:
+        monkeypatch.setattr(sizing, "BROADCAST_ROWS", bound)
+    monkeypatch.setattr(cooccur, "ONE_ROW", 4)
+    monkeypatch.setattr(cooccur, "PAIR_BLOCK", 2)
+    rows = [*data(), (50, [f"w{i}" for i in range(60)], "", 0)]
+    got = cooccur.cooccurrence(spark.createDataFrame(rows, SCHEMA), "b", F.col("items"), together, lift).collect()
+    assert {(r.item_a, r.item_b): (r.together, r.count_a, r.count_b, r.baskets) for r in got} == {k: v[:4] for k, v in brute(rows, together, lift).items()}
+
+
 def test_large_basket(spark):
     rows = [(1, [f"w{i}" for i in range(400)], "", 0)]
     assert cooccur.cooccurrence(spark.createDataFrame(rows, SCHEMA), "b", F.col("items")).count() == 400 * 399 // 2
