@@ -87,18 +87,29 @@ def _accumulate(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Rec
         yield flush()
 
 
-def _sum_blocks(table: pa.Table, size: int) -> pa.Table:
-    """Sum of one block's arrays, as rows (term_id, occurrences, records)."""
+def _sum_blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Arrays sorted by block to sums (term_id, occurrences, records). One block's sum is held, however many arrays
+    it comes from; Spark bounds the bytes of a batch."""
+    block = -1
     occ, pres = np.zeros(size, np.int64), np.zeros(size, np.int64)
-    seen = np.zeros(size, bool)
-    for at, o, p in zip(*(table.column(c) for c in ("at", "occurrences", "records"))):
-        i = at.values.to_numpy()
-        occ[i] += o.values.to_numpy()
-        pres[i] += p.values.to_numpy()
-        seen[i] = True
-    i = np.flatnonzero(seen)
-    first = table.column("block")[0].as_py() * size
-    return pa.table({"term_id": i + first, "occurrences": occ[i], "records": pres[i]})
+
+    def done() -> pa.RecordBatch:
+        i = np.flatnonzero(occ)
+        return pa.RecordBatch.from_arrays([pa.array(i + block * size), pa.array(occ[i]), pa.array(pres[i])], names=["term_id", "occurrences", "records"])
+
+    for b in batches:
+        for own, at, o, p in zip(b.column(0).to_pylist(), *(b.column(c) for c in (1, 2, 3))):
+            if own != block:
+                if block >= 0:
+                    yield done()
+                    occ[:] = 0
+                    pres[:] = 0
+                block = own
+            i = at.values.to_numpy()
+            occ[i] += o.values.to_numpy()
+            pres[i] += p.values.to_numpy()
+    if block >= 0:
+        yield done()
 
 
 def term_frequencies(df: DataFrame, row: str, record: str, terms: list[Column], block: int = BLOCK) -> DataFrame:
@@ -119,7 +130,8 @@ def term_frequencies(df: DataFrame, row: str, record: str, terms: list[Column],
     encoded = bounded_join(rows, words, "term", spread=["row"]).select("term_id", "record", "row")
     spread = encoded.repartition(F.col("term_id"), F.coalesce("record", "row")).sortWithinPartitions("term_id", "record", "row")
     arrays = spread.mapInArrow(lambda batches: _accumulate(batches, block), "block long, at array<int>, occurrences array<long>, records array<long>")
-    sums = arrays.groupBy("block").applyInArrow(lambda t: _sum_blocks(t, block), "term_id long, occurrences long, records long")
+    ranges = arrays.repartition("block").sortWithinPartitions("block")
+    sums = ranges.mapInArrow(lambda batches: _sum_blocks(batches, block), "term_id long, occurrences long, records long")
     return bounded_join(sums, words, "term_id").select("term", "occurrences", "records")
 
 
