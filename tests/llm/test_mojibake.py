@@ -50,15 +50,81 @@ def test_single_bytes_misread(text):
     assert r.garbled and r.text == text
 
 
-@pytest.mark.parametrize("text", ["The guild — not the verb — introduces nests.", "The word “lumo” guides it.", "In 1200 the beds of Tesscalo’s island were sold.", "This vis-à-vis of a term ends."])
+FEW = ["The guild — not the verb — introduces nests.", "The word “lumo” guides it.", "In 1200 the beds of Tesscalo’s island were sold.", "This vis-à-vis of a term ends."]
+
+
+def corpus():
+    """Clean texts that hold what the learned part has to know: signs in their places, and words."""
+    plain = ["Tesscalo has beds", "the word lumo", "«sí» está aquí", "París, Luís y el país", "Beatrix’s and Anna’s — or not", "a “word” and “another”"]
+    return [f"{t} {i}" for t in [*CLEAN, *TEXTS, *plain, *FEW[3:]] for i in range(40)]
+
+
+@pytest.mark.parametrize("text", FEW)
 def test_few_wrong_characters(text):
-    r = mj.repair(text.encode("cp1252").decode("mac_roman"))
+    """Nothing but the corpus tells these signs from others in their places."""
+    r = mj.repair(text.encode("cp1252").decode("mac_roman"), mj.learn(corpus()))
+    assert r.garbled and r.text == text
+
+
+FOREIGN = [
+    "La col·lecció és bona i l’Íñigo va al paral·lel.", "The letter ó and î.", "Dionís and the Beatrís of Lisbon", "iÉcole McÉwan", "Α΄ και Β΄ μέρος",
+    "Річ у тому, що Рівне", "private \ue000 use", "a new sign \U0001fae8", "the sign “�” stands for it", "Příliš žluťoučký kůň", "Việt Nam là một nước",
+    "Ó Briain agus Ó Súilleabháin", "às vezes à noite",
+]
+
+
+@pytest.mark.parametrize("text", FOREIGN)
+def test_clean_text_outside_the_corpus_stays(text):
+    r = mj.repair(text, mj.learn(corpus()))
+    assert not r.garbled and r.text == text
+
+
+@pytest.mark.parametrize("text", CLEAN + TEXTS + FEW)
+def test_clean_text_stays_with_the_corpus(text):
+    r = mj.repair(text, mj.learn(corpus()))
+    assert not r.garbled and r.text == text
+
+
+@pytest.mark.parametrize(
+    "text, written, read",
+    [("Καλημέρα κόσμε, τι κάνεις;", "cp1253", "cp1252"), ("Καλημέρα κόσμε", "iso8859-7", "cp1252"), ("Łódź są piękne żółty", "iso8859-2", "latin-1"),
+     ("Привет, мир", "cp866", "cp1252"), ("Привет, мир", "cp1251", "mac_roman")],
+)
+def test_other_single_byte_encodings(text, written, read):
+    r = mj.repair("".join(mj.byte_table(read)[0][b] for b in text.encode(written)))
+    assert r.garbled and r.text == text
+
+
+@pytest.mark.parametrize("text", ["Привет, мир! Это проверка.", "Καλημέρα κόσμε, τι κάνεις;", "Łódź i Kraków są piękne"])
+@pytest.mark.parametrize("encoding", ["cp1256", "cp1258", "cp1254", "koi8-r"])
+def test_utf8_misread_in_more_encodings(text, encoding):
+    r = mj.repair(misread(text, encoding))
     assert r.garbled and r.text == text
 
 
+def test_utf8_misread_as_gbk():
+    text = "Привет, мир!"
+    assert mj.repair(text.encode().decode("gb18030")).text == text
+
+
+def test_many_layers():
+    text = wrong = TEXTS[0]
+    for _ in range(6):
+        wrong = misread(wrong, "cp1252")
+    assert mj.repair(wrong).text == text
+
+
+def test_copies_do_not_count_as_evidence(spark):
+    copies = [(1, "olvidÛ la vida")] * 50
+    rows = [(i, f"olvidó {i} veces la vida") for i in range(300)]
+    learned = mj.learn_counts(spark.createDataFrame(rows + copies, "k long, t string"))
+    assert learned.counts.get("olvidû", 0) <= 1 and 200 <= learned.counts["olvidó"] <= 300
+    assert mj.repair("olvidÛ la vida", learned).text == "olvidó la vida"
+
+
 def test_lost_characters():
     r = mj.repair("F�r alle")
-    assert r.garbled and r.lost == 1 and r.text == "F�r alle"
+    assert r.garbled and r.lost == 1 and r.text == "F�r alle" and r.layers == (mj.REPLACED,)
     assert mj.repair("â€œso â€�").text == "“so ”"
 
 
