@@ -132,13 +132,22 @@ _LEADS = "ÂÃâ"
 
 
 #: ASCII characters cost nothing beside one another, so only the surroundings of others are read.
-_AROUND = re.compile(r"[\x00-\x7f]{0,2}(?:[^\x00-\x7f]+[\x00-\x7f]{0,2})+")
+_RUN = re.compile(r"[^\x00-\x7f]+")
 _MULTI = re.compile(r"[^\x00-\x7f]{2,}")
 
 
 def cost(text: str) -> int:
     """How garbled a passage looks; 0 for clean text in common languages."""
-    return sum(_cost(m) for m in _AROUND.findall(text))
+    total, start, end, last = 0, -1, 0, 0
+    for m in _RUN.finditer(text):
+        s, e = m.span()
+        if start < 0:
+            start = s
+        elif s - end > 2:
+            total += _cost(text[max(last, start - 2) : end + 2])
+            start, last = s, end + 2
+        end = e
+    return total if start < 0 else total + _cost(text[max(last, start - 2) : end + 2])
 
 
 def _cost(text: str) -> int:
@@ -195,7 +204,9 @@ def _cost_of(text: str) -> int:
 _cost_remembered = lru_cache(100_000)(_cost_of)
 
 _WORD = re.compile(r"[^\W\d_]+|[^\x00-\x7f]")
-_REGION = re.compile(r"(?:[\w’']|[^\x00-\x7f])+")
+_BLANK = re.compile(r"[ \t\r\n]+")
+_LETTERS = re.compile(r"[^\W\d_]+")
+_SIGN = re.compile(r"[^\x00-\x7f]")
 
 
 def _side(ch: str) -> str:
@@ -218,6 +229,18 @@ def features(text: str) -> list[str]:
     return out
 
 
+def text_features(text: str) -> set[str]:
+    """The different features of a text, as ``features`` gives them."""
+    out = {w for w in _LETTERS.findall(text.lower()) if len(w) <= _LONGEST}
+    if not text.isascii():
+        for m in _SIGN.finditer(text):
+            c, i = m.group(), m.start()
+            out.add(c + "\x01")
+            if not c.isalpha():
+                out.add(_side(text[i - 1 : i]) + c + _side(text[i + 1 : i + 2]) + "\x00")
+    return out
+
+
 @dataclass(frozen=True)
 class Learned:
     """In how many texts each word and sign stands."""
@@ -242,7 +265,7 @@ def learn(texts) -> Learned:
     """The learned part from given texts; ``learn_counts`` does the same for a table."""
     counts: dict[str, int] = defaultdict(int)
     for t in set(texts):
-        for f in set(features(t or "")):
+        for f in text_features(t or ""):
             counts[f] += 1
     return Learned(dict(counts))
 
@@ -323,60 +346,73 @@ def _undo_utf8(text: str, encoding: str, learned: Learned | None) -> str:
 _SEGMENT = re.compile(r"[^\n]*?(?:[.!?…][”»\"')\]]*\s+|\n|$)")
 
 
-def _convert(part: str, read: str, written: str) -> str | None:
+class _Change(dict):
+    """Characters of one encoding to those that another has for the same bytes; others outside ASCII do not convert."""
+
+    def __missing__(self, c: int) -> int:
+        if c < 128:
+            return c
+        raise ValueError
+
+
+@lru_cache(None)
+def _change(read: str, written: str) -> _Change:
     back, chars = byte_table(read)[1], byte_table(written)[0]
+    return _Change({ord(c): chars[b] for c, b in back.items()})
+
+
+def _convert(part: str, read: str, written: str) -> str | None:
     try:
-        return "".join(chars[back[c]] for c in part)
-    except KeyError:
+        return part.translate(_change(read, written))
+    except ValueError:
         return None
 
 
-def _support_of(left: str, region: str, right: str, learned: Learned) -> tuple[dict[int, float], dict[int, float], frozenset[int]]:
-    """Pairs of encodings under which a region becomes clearly commoner, with the gain; those under which its signs
+def _support_of(token: str, learned: Learned) -> tuple[dict[int, float], dict[int, float], frozenset[int]]:
+    """Pairs of encodings under which a token becomes clearly commoner, with the gain; those under which its signs
     do, but a word of ASCII beside them is rare; and those that leave it as it is."""
-    before = learned.least(left + region + right) - 1  # elsewhere than here
-    least, glued = max(SEEN, CLEARLY * before), cost(left + region + right)
+    before = learned.least(f" {token} ") - 1  # elsewhere than here
+    least, glued = max(SEEN, CLEARLY * before), None
     gains, weak, same = {}, {}, set()
     for i, (read, written) in enumerate(MISREAD_BYTES):
-        plain = _convert(region, read, written)
-        if plain == region:
+        plain = _convert(token, read, written)
+        if plain == token:
             same.add(i)
-        elif plain is not None and cost(left + plain + right) <= glued:
-            whole = left + plain + right
-            if (after := learned.least(whole)) >= least:
-                gains[i] = log(after / max(1, before))
-            elif (after := learned.least(whole, True)) >= least:
-                weak[i] = log(after / max(1, before))
+        elif plain is not None and (signs := learned.least(whole := f" {plain} ", True)) >= least:
+            glued = cost(f" {token} ") if glued is None else glued
+            if cost(whole) <= glued:
+                every = learned.least(whole)
+                (gains if every >= least else weak)[i] = log((every if every >= least else signs) / max(1, before))
     return gains, weak, frozenset(same)
 
 
 def _undo_bytes(text: str, learned: Learned | None, known: dict) -> tuple[str, tuple[str, ...]]:
     """Sentences read in one single-byte encoding but written in another."""
     layers: list[str] = []
+    odd = cost(text) > 0
 
     def support(part: str) -> tuple[dict[int, float], dict[int, float]]:
-        """Pairs under which every region of a sentence becomes commoner or stays; and those with a rare word among them."""
-        strong: dict[int, float] | None = None
-        weak: dict[int, float] | None = None
-        for m in _REGION.finditer(part):
-            region = m.group()
-            if region.isascii():
+        """Pairs under which every token of a sentence becomes commoner or stays; and those with a rare word among them."""
+        each = []
+        for token in _BLANK.split(part):
+            if token.isascii():
                 continue
-            key = (part[m.start() - 1 : m.start()], region, part[m.end() : m.end() + 1])
-            found = known.get(key)
+            found = known.get(token)
             if found is None:
-                found = _support_of(*key, learned)
-                if len(region) <= _REMEMBERED:
+                found = _support_of(token, learned)
+                if len(token) <= _REMEMBERED:
                     if len(known) >= 200_000:
                         known.clear()
-                    known[key] = found
-            gains, some, same = found
-            sure, any_way = {**dict.fromkeys(same, 0.0), **gains}, {**dict.fromkeys(same, 0.0), **some, **gains}
-            strong = sure if strong is None else {i: g + sure[i] for i, g in strong.items() if i in sure}
-            weak = any_way if weak is None else {i: g + any_way[i] for i, g in weak.items() if i in any_way}
-            if not weak:
+                    known[token] = found
+            if not (found[0] or found[1] or found[2]):
                 return {}, {}
-        return tuple({i: g for i, g in (x or {}).items() if g > 0} for x in (strong, weak))
+            each.append(found)
+        if not any(gains or some for gains, some, _ in each):
+            return {}, {}
+        pairs = range(len(MISREAD_BYTES))
+        strong = {i: sum(g.get(i, 0.0) for g, _, _ in each) for i in pairs if all(i in g or i in same for g, _, same in each)}
+        weak = {i: sum(g.get(i, 0.0) + w.get(i, 0.0) for g, w, _ in each) for i in pairs if all(i in g or i in w or i in same for g, w, same in each)}
+        return {i: g for i, g in strong.items() if g > 0}, {i: g for i, g in weak.items() if g > 0}
 
     def by_count(part: str, sure: set[str]) -> str:
         strong, weak = support(part)
@@ -395,7 +431,7 @@ def _undo_bytes(text: str, learned: Learned | None, known: dict) -> tuple[str, t
     def undo(part: str, sure: set[str]) -> str:
         if part.isascii():
             return part
-        before = cost(part)
+        before = cost(part) if odd else 0
         best, least, name = part, before, ""
         for read, written in MISREAD_BYTES if before else ():
             plain = _convert(part, read, written)
@@ -505,7 +541,7 @@ def learn_counts(texts: DataFrame) -> Learned:
         for batch in batches:
             for t, place in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 bit = 1 << place
-                for f in set(features(t)):
+                for f in text_features(t):
                     x = held.get(f)
                     if x is None:
                         held[f] = [1, bit]
