@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
+from . import wordlists
+
 #: White space as Unicode has it; both regular-expression engines know this class.
 WS = r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 WINDOW = 5
@@ -102,31 +104,11 @@ def is_quality_sentence_sql(c: str) -> str:
   AND regexp_matches({s}, '^\\p{{Lu}}') AND regexp_matches({s}, '[.!?]$'))"""
 
 
-# Closed word classes by language. The open classes follow from endings; a caller may pass more words.
-ENGLISH_TAGS = {
-    "DET": "the a an this these those my your his her its our their no neither either",
-    "CCONJ": "and or but so yet",
-    "ADP": "in on at from with by about under over through into of for before after between among during without within toward towards",
-    "ADV": "very really quite too also always never often sometimes hardly rarely seldom here there now where when why how",
-    "PRON": "who whom whose which that what i you he she it we they me him us them",
-    "AUX": "be am is are was were been being have has had having do does did can could will would shall should may might must",
-    "PART": "to not",
-    "SCONJ": "because although if while since unless until",
-}
-SPANISH_TAGS = {
-    "DET": "el la los las un una unos unas este esta estos estas",
-    "CCONJ": "y e o u pero ni",
-    "ADP": "a ante bajo con contra de desde en entre hacia hasta para por según sin sobre tras",
-    "ADV": "muy siempre nunca también aquí allí jamás quizás apenas",
-    "PRON": "yo tú él ella nosotros vosotros ellos ellas usted ustedes me te se nos os que quien",
-    "AUX": "es son era eran ser estar está están ha han haber había",
-    "SCONJ": "porque aunque si cuando mientras",
-}
+# Words by tag and language, with their inflected forms. Other words follow from capitals and endings.
+ENGLISH_TAGS = wordlists.english_tags()
+SPANISH_TAGS = wordlists.spanish_tags()
 #: Words with several candidate tags.
-AMBIGUOUS = {
-    "that": "PRON DET SCONJ", "to": "PART ADP", "for": "ADP CCONJ", "so": "CCONJ ADV", "before": "ADP SCONJ", "after": "ADP SCONJ",
-    "since": "SCONJ ADP", "until": "SCONJ ADP", "her": "DET PRON", "no": "DET INTJ", "yet": "CCONJ ADV", "links": "NOUN VERB",
-}
+AMBIGUOUS = wordlists.ambiguous()
 PUNCTUATION_TAGS = {",": "COMMA", ";": "SEMICOLON", ":": "COLON", "(": "LPAREN", ")": "RPAREN", "—": "EM_DASH", "–": "EM_DASH"}
 QUOTES = ('"', "'", "“", "”", "‘", "’")
 ENGLISH_ENDINGS = (("ly", "ADV"), ("ing", "VERB"), ("ed", "VERB"))
@@ -147,7 +129,7 @@ def tag(t: Column, lang: str = "en") -> Column:
             out = out.when(t == p, F.lit(name))
         out = out.when(t.isin(*QUOTES), F.lit("QUOTE"))
     for name, ws in words.items():
-        out = out.when(low.isin(*ws.split()), F.lit(name))
+        out = out.when(low.isin(*ws), F.lit(name))
     proper = t.rlike(r"^\p{Lu}") if lang == "es" else t.rlike(r"^\p{Lu}") & ~t.isin("I", "A")
     out = out.when(proper, F.lit("PROPN"))
     for end, name in endings:
@@ -167,7 +149,7 @@ def tag_sql(t: str, lang: str = "en") -> str:
             out += f" WHEN {t} = '{p}' THEN '{name}'"
         out += f" WHEN {t} IN ({listed(QUOTES)}) THEN 'QUOTE'"
     for name, ws in words.items():
-        out += f" WHEN lower({t}) IN ({listed(ws.split())}) THEN '{name}'"
+        out += f" WHEN lower({t}) IN ({listed(ws)}) THEN '{name}'"
     capital = f"regexp_matches({t}, '^\\p{{Lu}}')"
     out += f" WHEN {capital if lang == 'es' else capital + f' AND {t} NOT IN (' + listed(('I', 'A')) + ')'} THEN 'PROPN'"
     for end, name in endings:
@@ -177,10 +159,9 @@ def tag_sql(t: str, lang: str = "en") -> str:
 
 def possible_tags(t: Column, lang: str = "en") -> Column:
     """All candidate tags of a token; its own tag alone where it is not ambiguous."""
-    out = F.when(F.lit(False), F.array(F.lit("")))
-    for w, tags in AMBIGUOUS.items():
-        out = out.when(F.lower(t) == w, F.array(*[F.lit(x) for x in tags.split()]))
-    return out.otherwise(F.array(tag(t, lang)))
+    # one look-up in a literal map instead of a branch for each word
+    known = F.create_map(*[F.lit(x) for w, tags in AMBIGUOUS.items() for x in (w, tags)])
+    return F.coalesce(F.split(F.try_element_at(known, F.lower(t)), " "), F.array(tag(t, lang)))
 
 
 def possible_tags_sql(t: str, lang: str = "en") -> str:
@@ -199,7 +180,7 @@ def plain_lang_sql(c: str) -> str:
     return f"coalesce(nullif(substr(lower(trim({c})), 1, 2), ''), 'und')"
 
 
-STOP_WORDS = sorted({w for k in ("DET", "CCONJ", "ADP", "PRON", "AUX", "PART", "SCONJ") for w in ENGLISH_TAGS[k].split()})
+STOP_WORDS = sorted({w for k in ("DET", "CCONJ", "ADP", "PRON", "AUX", "PART", "SCONJ") for w in ENGLISH_TAGS[k]})
 
 
 def content_words(c: Column) -> Column:

@@ -15,6 +15,7 @@ from itertools import islice, product
 from math import log2
 from pathlib import Path
 
+from ..functions import wordlists
 from ..functions.text import AMBIGUOUS, ENGLISH_ENDINGS, ENGLISH_TAGS, PUNCTUATION_TAGS, QUOTES, SPANISH_ENDINGS, SPANISH_TAGS
 
 # Node type of each tag; all other tags give NIL.
@@ -140,7 +141,7 @@ def builtin_grammar(lang: str) -> str:
 
 @lru_cache(2)
 def _lexicon(lang: str) -> dict[str, str]:
-    return {w: t for t, ws in (SPANISH_TAGS if lang == "es" else ENGLISH_TAGS).items() for w in ws.split()}
+    return {w: t for t, ws in (SPANISH_TAGS if lang == "es" else ENGLISH_TAGS).items() for w in ws}
 
 
 @dataclass(frozen=True)
@@ -169,13 +170,43 @@ def tag_token(text: str, lang: str = "en") -> str:
     return "NOUN"
 
 
+_PARTICIPLES = wordlists.participles()
+_SUBTYPES: dict[str, tuple[str, ...]] = {}
+for _words, _kind in (
+    (wordlists.ENGLISH_MODALS, "MODAL"), (("have", "has", "had"), "PERFECT"), (sorted(BE_FORMS), "PROGRESSIVE"), (wordlists.ENGLISH_NEGATIVE, "NEGATIVE"),
+    (wordlists.ENGLISH_RELATIVE, "RELATIVE"), (("'s",), "POSSESSIVE"), (("to",), "INFINITIVE"),
+):
+    for _w in _words:
+        _SUBTYPES[_w] = (*_SUBTYPES.get(_w, ()), _kind)
+
+
+def subtypes(text: str, tag: str, lang: str = "en") -> tuple[str, ...]:
+    """Features of a word: of auxiliaries and other function words by list, of verb forms by list and ending."""
+    low = text.lower()
+    if lang == "es":
+        ends = ("ando", "iendo", "ado", "ido")
+        return ("PARTICIPLE", *(("PAST_PARTICIPLE",) if low.endswith(("ado", "ido")) else ())) if tag == "VERB" and low.endswith(ends) else ()
+    if tag == "VERB":
+        past = low in _PARTICIPLES or low.endswith("ed")
+        return (("PARTICIPLE",) if low.endswith("ing") else ()) + (("PAST_PARTICIPLE",) if past else ())
+    return _SUBTYPES.get(low, ())
+
+
+def tagged(tokens: list[str], lang: str = "en") -> list[Word]:
+    """Words of a sentence that is already split."""
+    return [Word(t, tag := tag_token(t, lang), subtypes(t, tag, lang)) for t in tokens]
+
+
+#: Marks at the end of a token that are not part of the word.
+_ENDS = ".!?"
+
+
 def tag_sentence(text: str, lang: str = "en") -> list[Word]:
-    ends = ("ando", "iendo", "ado", "ido") if lang == "es" else ("ing",)
-    words = []
-    for t in text.split():
-        tag = tag_token(t, lang)
-        words.append(Word(t, tag, ("PARTICIPLE",) if tag == "VERB" and t.lower().endswith(ends) else ()))
-    return words
+    """Words of a sentence split at white space; an end mark is no part of the last word."""
+    tokens = text.split()
+    if tokens and len(tokens[-1]) > 1:
+        tokens[-1] = tokens[-1].rstrip(_ENDS) or tokens[-1]
+    return tagged(tokens, lang)
 
 
 @dataclass(frozen=True)
@@ -381,8 +412,8 @@ def normalise(h: Hypothesis) -> Hypothesis:
     for i, kind in enumerate(h.types):
         if kind == "PREDICATE" and not any(t == "SUBJECT" and p == i for t, p, _ in h.edges):
             h = _add(h, "you", "PRON", "NOMINAL", ("SECOND_PERSON", "SINGULAR"), ("SUBJECT", i, len(h.types)))
-    for i, kind in enumerate(h.types):
-        if kind == "VERBAL" and "PAST_PARTICIPLE" in h.flags[i] and "PASSIVE" not in h.flags[i]:
+    for i in range(len(h.types)):
+        if h.original[i] == "VERBAL" and "PAST_PARTICIPLE" in h.flags[i] and "PASSIVE" not in h.flags[i]:
             helpers = (c for t, p, c in h.edges if p == i and t == "MODIFICATION")
             if any((h.texts[c] or "").lower() in BE_FORMS for c in helpers):
                 h = replace(h, flags=_set(h.flags, i, (*h.flags[i], "PASSIVE")))
@@ -420,11 +451,19 @@ def head(h: Hypothesis, i: int, seen: frozenset = frozenset()) -> str:
 def triples(h: Hypothesis) -> list[tuple[str, str, str]]:
     """(subject, relation, object) of each edge: the child's head word relates to the parent's.
 
-    A prepositional edge takes its relation from the preposition it passes through.
+    A prepositional edge takes its relation from the preposition it passes through. Of a passive verb the
+    subject is the patient and the noun after ``by`` the agent.
     """
     out = []
+    passive = {i for i, f in enumerate(h.flags) if "PASSIVE" in f}
+    by = {c for kind, p, c in h.edges if kind == "PREPOSITION" and p in passive and (h.texts[c] or "").lower() == "by"}
     for kind, p, c in h.edges:
         relation = RELATIONS.get(kind, "related-to")
+        if kind == "SUBJECT" and p in passive:
+            relation = "is-patient-of"
+        if kind == "PREPOSITION" and p in by:
+            verb = next(v for k, v, x in h.edges if x == p and v in passive)
+            out.append((head(h, c), "is-agent-of", head(h, verb)))
         if kind == "PREPOSITION":
             words = [h.texts[i].lower() for i in (c, p) if h.texts[i] and h.tags[i] == "ADP"]
             if words:
