@@ -180,7 +180,7 @@ def plain_lang_sql(c: str) -> str:
     return f"coalesce(nullif(substr(lower(trim({c})), 1, 2), ''), 'und')"
 
 
-STOP_WORDS = sorted({w for k in ("DET", "CCONJ", "ADP", "PRON", "AUX", "PART", "SCONJ") for w in ENGLISH_TAGS[k]})
+STOP_WORDS = sorted({w for k in ("DET", "CCONJ", "ADP", "PRON", "AUX", "PART", "SCONJ") for w in ENGLISH_TAGS[k] if w.isalpha()})
 
 
 def content_words(c: Column) -> Column:

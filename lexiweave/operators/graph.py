@@ -75,15 +75,15 @@ def vocabulary(words: DataFrame, column: str = "word") -> DataFrame:
 def encode(edges: DataFrame, vocab: DataFrame) -> DataFrame:
     """Edges with ids at both ends; edges with an end outside the vocabulary drop out."""
     ids = vocab.select("word", "word_id")
-    a = bounded_join(edges, ids.withColumnsRenamed({"word": "source", "word_id": "source_id"}), "source")
-    return bounded_join(a, ids.withColumnsRenamed({"word": "target", "word_id": "target_id"}), "target")
+    a = bounded_join(edges, ids.withColumnsRenamed({"word": "source", "word_id": "source_id"}), "source", spread=["relation", "target"])
+    return bounded_join(a, ids.withColumnsRenamed({"word": "target", "word_id": "target_id"}), "target", spread=["relation", "source"])
 
 
 def frequent_ends(edges: DataFrame, least: int) -> DataFrame:
     """Edges whose two words occur at least ``least`` times as an end."""
-    keep = build_nodes(edges).where(F.col("frequency") >= least).select("word")
-    a = bounded_join(edges, keep.withColumnRenamed("word", "source"), "source", "left_semi")
-    return bounded_join(a, keep.withColumnRenamed("word", "target"), "target", "left_semi")
+    keep = materialise(build_nodes(edges).where(F.col("frequency") >= least).select("word"), "frequent-words")
+    a = bounded_join(edges, keep.withColumnRenamed("word", "source"), "source", "left_semi", spread=["relation", "target"])
+    return bounded_join(a, keep.withColumnRenamed("word", "target"), "target", "left_semi", spread=["relation", "source"])
 
 
 def mean(c: Column | str, digits: int = 6) -> Column:
@@ -132,20 +132,23 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
     return nodes.join(root, nodes["node"] == root["u"], "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
-def closure(edges: DataFrame, child: str, parent: str, max_depth: int = 20) -> DataFrame:
-    """(descendant, ancestor, depth) of an acyclic is-a relation, shortest depth, each node its own ancestor at 0."""
+def closure(edges: DataFrame, child: str, parent: str) -> DataFrame:
+    """(descendant, ancestor, depth) of an is-a relation of any depth, shortest depth, each node its own ancestor at 0.
+
+    A pair is followed from its first round on and never again, so that cycles end as well."""
     e = edges.select(F.col(child).alias("c"), F.col(parent).alias("p")).where("c IS NOT NULL AND p IS NOT NULL").distinct()
     e = materialise(e, "closure-edges")
     nodes = e.select(F.explode(F.array("c", "p")).alias("n")).distinct()
     frontier = nodes.select(F.col("n").alias("descendant"), F.col("n").alias("ancestor"), F.lit(0).alias("depth"))
     levels = frontier
-    for d in range(1, max_depth + 1):
+    d = 0
+    while True:
+        d += 1
         step = frontier.join(e, F.col("ancestor") == F.col("c")).select("descendant", F.col("p").alias("ancestor"), F.lit(d).alias("depth"))
-        frontier = materialise(step.distinct(), "closure")
+        frontier = materialise(step.distinct().join(levels, ["descendant", "ancestor"], "left_anti"), "closure")
         if frontier.isEmpty():
-            break
+            return levels
         levels = levels.unionByName(frontier)
-    return levels.groupBy("descendant", "ancestor").agg(F.min("depth").alias("depth"))
 
 
 def path_similarity(up: DataFrame, pairs: DataFrame, a: str, b: str) -> DataFrame:

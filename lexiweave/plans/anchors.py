@@ -10,7 +10,7 @@ from ..core.terms import term, term_sql
 from ..functions import anchors, vec
 from ..operators import graph
 from . import Registry, table
-from .axes import _LINKS, _AXES, HUB, MIN_SHARED, PAIRS, _links, opposites, written_opposites
+from .axes import _LINKS, _AXES, MIN_SHARED, PAIRS, _links, opposites, written_opposites
 from .graph import EDGES, edges_of
 from .vectors import E, LONG, PAIR_DIMS, PAIRS as VEC_PAIRS, POLARITY_DIMS, _NOT_A, long_form, pair_dims, r6, vectors
 
@@ -52,7 +52,7 @@ def metadata_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select(F.explode("m").alias("e")).groupBy(F.col("e.key").alias("feature"), F.col("e.value").alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 
-_WORDS = """(SELECT DISTINCT word_id, word, left(regexp_replace(word, '_wn\\..*$', ''), 2) AS base, embeddings::DOUBLE[] AS v, checkpoint FROM word_vector
+_WORDS = """(SELECT DISTINCT word_id, word, regexp_replace(word, '_wn\\..*$', '') AS base, embeddings::DOUBLE[] AS v, checkpoint FROM word_vector
 WHERE embeddings IS NOT NULL AND word IS NOT NULL AND len(embeddings) = 64 AND len(list_filter(embeddings, lambda x: x IS NULL OR isnan(x))) = 0)"""
 
 
@@ -71,7 +71,7 @@ SELECT a.word_id AS id1, b.word_id AS id2, a.base, round(CASE WHEN list_sum(list
   round(list_distance(a.v, b.v), 6) AS distance FROM w a JOIN w b ON a.base = b.base AND a.k < b.k WHERE a.k <= 5 AND b.k <= 5""",
 )
 def sense_separation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cosine and distance among the first five senses of a word; the SQL takes words of the same first two letters instead."""
+    """Cosine and distance among the first five senses of a word."""
     w = word_vectors(spark, sf_dir).withColumn("k", F.row_number().over(Window.partitionBy("base").orderBy("word", "word_id"))).where("k <= 5")
     b = w.select("base", F.col("word_id").alias("id2"), F.col("k").alias("k2"), F.col("v").alias("v2"))
     p = w.select("base", F.col("word_id").alias("id1"), "k", "v").join(b, "base").where("k < k2")
@@ -213,36 +213,50 @@ def axis_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.where("shared >= 0.7 * size").select("word", "pole", "shared", r6(F.col("shared") / F.col("size"), "share"))
 
 
-MAX_POLES = 50_000
+def _stars(pairs: DataFrame) -> DataFrame:
+    """(centre, pole, n): poles in order of their names; each one not yet taken takes the later ones beside it that are not yet taken.
+
+    The same as one pass in order, in rounds: a pole without an earlier undecided one beside it is a centre, and
+    what lies beside a centre is taken. What is never taken is a centre; the earliest centre beside a taken pole
+    has it. ``pairs`` has ``a`` < ``b`` and ``n``.
+    """
+    every = materialise(pairs, "opposing-poles")
+    undecided, taken = every, None
+    while not undecided.isEmpty():
+        first = undecided.select("a").distinct().join(undecided.select(F.col("b").alias("a")), "a", "left_anti")
+        first = materialise(first, "centres")
+        new = materialise(bounded_join(undecided, first, "a", "left_semi", spread=["b"]).select("b").distinct(), "taken-poles")
+        taken = new if taken is None else taken.unionByName(new)
+        gone = materialise(new.withColumnRenamed("b", "p").unionByName(first.withColumnRenamed("a", "p")), "decided-poles")
+        rest = bounded_join(undecided, gone.withColumnRenamed("p", "a"), "a", "left_anti", spread=["b"])
+        undecided = materialise(bounded_join(rest, gone.withColumnRenamed("p", "b"), "b", "left_anti", spread=["a"]), "undecided-poles")
+    if taken is None:
+        return every.select(F.col("a").alias("centre"), F.col("b").alias("pole"), "n")
+    own = bounded_join(every, taken.withColumnRenamed("b", "a"), "a", "left_anti", spread=["b"])
+    best = own.groupBy("b").agg(F.min(F.struct("a", "n")).alias("m"))
+    return best.select(F.col("m.a").alias("centre"), F.col("b").alias("pole"), F.col("m.n").alias("n"))
 
 
 @registry.query("axis_assembly")
 def axis_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Axes of poles that oppose one another, each pole in one axis, smaller pole names first.
-
-    Pair counts between poles are aggregated by Spark; only those of opposing poles come to the
-    driver for the greedy pass, and their number is checked before.
-    """
+    """Axes of poles that oppose one another, each pole in one axis, smaller pole names first."""
     p = written_opposites(spark, sf_dir)
     c = materialise(graph.components(_links(p).where(F.col("shared") >= MIN_SHARED), "a", "b").withColumnRenamed("component", "pole"), "poles")
     j = bounded_join(bounded_join(p, c.toDF("w1", "p1"), "w1"), c.toDF("w2", "p2"), "w2").where("p1 <> p2")
     n = j.groupBy(F.least("p1", "p2").alias("a"), F.greatest("p1", "p2").alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    if not rows_at_most(n, MAX_POLES):
-        raise ValueError(f"more than {MAX_POLES} opposing poles: raise the least number of pairs")
-    near: dict[str, dict[str, int]] = {}
-    for r in n.collect():
-        near.setdefault(r.a, {})[r.b] = r.n
-    used: set[str] = set()
-    axes = []
-    for a in sorted(near):
-        if a in used:
-            continue
-        mates = [b for b in sorted(near[a]) if b not in used]
-        if mates:
-            used |= {a, *mates}
-            axes.append((len(axes), [a, *mates], sum(near[a][b] for b in mates)))
-    geometry = [(i, names, n, [v for _, v in anchors.pole_geometry(names)]) for i, names, n in axes]
-    return spark.createDataFrame(geometry, "axis_id int, poles array<string>, pairs long, vertices array<array<double>>")
+    axes = _stars(n).groupBy("centre").agg(F.array_sort(F.collect_set("pole")).alias("mates"), F.sum("n").alias("pairs"))
+    axes = materialise(axes, "axes")
+    ids = graph.vocabulary(axes.select(F.col("centre").alias("word"))).withColumnRenamed("word", "centre")
+    named = axes.join(ids, "centre").select(F.col("word_id").cast("int").alias("axis_id"), F.concat(F.array("centre"), "mates").alias("poles"), "pairs")
+
+    def place(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            points = [[v for _, v in anchors.pole_geometry(names)] for names in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(points, pa.list_(pa.list_(pa.float64())))], names=["axis_id", "poles", "pairs", "vertices"])
+
+    return named.mapInArrow(place, "axis_id int, poles array<string>, pairs long, vertices array<array<double>>")
 
 
 @registry.query(

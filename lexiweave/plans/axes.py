@@ -29,9 +29,7 @@ def written_opposites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialise(opposites(spark, sf_dir), "opposites")
 
 
-_BOTH = f"b AS (SELECT w1 AS w, w2 AS x FROM {PAIRS} UNION ALL SELECT w2, w1 FROM {PAIRS}), d AS (SELECT x, count(*) AS n FROM b GROUP BY x)"
-#: Only the SQL leaves out words with more opposites than this; the queries count all words.
-HUB = 12
+_BOTH = f"b AS (SELECT w1 AS w, w2 AS x FROM {PAIRS} UNION ALL SELECT w2, w1 FROM {PAIRS})"
 #: Shared opposites that put two words into one pole, as in the reference; ``anchors.poles`` asks for more.
 MIN_SHARED = 1
 #: Opposites of one word in a block; pairs are made between blocks, so that a hub's pairs are spread over tasks.
@@ -55,7 +53,7 @@ def _links(p: DataFrame) -> DataFrame:
     return shared.join(p, (F.col("a") == p["w1"]) & (F.col("b") == p["w2"]), "left_anti")
 
 
-_LINKS = f"""{_BOTH}, s AS (SELECT p.w AS a, q.w AS b, count(*) AS shared FROM b p JOIN b q ON p.x = q.x AND p.w < q.w JOIN d ON d.x = p.x AND d.n <= {HUB} GROUP BY 1, 2),
+_LINKS = f"""{_BOTH}, s AS (SELECT p.w AS a, q.w AS b, count(*) AS shared FROM b p JOIN b q ON p.x = q.x AND p.w < q.w GROUP BY 1, 2),
 l AS (SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM {PAIRS} z WHERE z.w1 = s.a AND z.w2 = s.b))"""
 
 
@@ -66,7 +64,7 @@ def shared_neighbor_pole_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.query(
     "pole_components",
-    f"""WITH RECURSIVE {_LINKS}, k AS (SELECT a, b FROM l WHERE shared >= 2), e AS (SELECT a AS u, b AS v FROM k UNION SELECT b, a FROM k),
+    f"""WITH RECURSIVE {_LINKS}, k AS (SELECT a, b FROM l WHERE shared >= {MIN_SHARED}), e AS (SELECT a AS u, b AS v FROM k UNION SELECT b, a FROM k),
 r AS (SELECT u AS node, u AS seen FROM e UNION SELECT r.node, e.v FROM r JOIN e ON r.seen = e.u) SELECT node, min(seen) AS component FROM r GROUP BY node""",
 )
 def pole_components(spark: SparkSession, sf_dir: str) -> DataFrame:

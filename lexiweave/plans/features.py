@@ -215,10 +215,10 @@ def relevance_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs(spark, sf_dir).select("id1", "id2", vec.rounded(gated).alias("v"))
 
 
-@registry.query("expand_dimensions", f"SELECT vec_id, list_concat(list_slice(v, 52, 64), list_transform(range(4), lambda i: 0.001::DOUBLE)) AS v FROM {E}")
+@registry.query("expand_dimensions", f"SELECT vec_id, list_concat(v, list_transform(range(4), lambda i: 0.001::DOUBLE)) AS v FROM {E}")
 def expand_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Learned dimensions alone with four new ones of scale 0.001: pruning and expansion are array operations."""
-    return vectors(spark, sf_dir).select("vec_id", F.concat(F.slice("v", 52, 13), F.array_repeat(F.lit(0.001), 4)).alias("v"))
+    """All dimensions with four new ones of scale 0.001 behind them."""
+    return vectors(spark, sf_dir).select("vec_id", F.concat("v", F.array_repeat(F.lit(0.001), 4)).alias("v"))
 
 
 @registry.query("anchor_matrix")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..core.session import materialise
 from ..core.sizing import spread
 from ..core.terms import relation_name, relation_name_sql, term, term_sql
 from ..functions import text as fx
@@ -13,6 +14,8 @@ from .text import sentence_rows, SENTENCES
 
 registry = Registry()
 WORD = "word"
+#: A word that is an object of many triples.
+TARGET = "phrase"
 
 
 def edges_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,9 +57,9 @@ def kg_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.outgoing(edges_of(spark, sf_dir), WORD, "is-agent-of")
 
 
-@registry.query("kg_in", f"SELECT * FROM ({EDGES}) WHERE target = '{WORD}'")
+@registry.query("kg_in", f"SELECT * FROM ({EDGES}) WHERE target = '{TARGET}'")
 def kg_in(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.incoming(edges_of(spark, sf_dir), WORD)
+    return graph.incoming(edges_of(spark, sf_dir), TARGET)
 
 
 @registry.query(
@@ -94,7 +97,7 @@ def edge_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT source, relation, target, count(*) AS n FROM e WHERE source IN (FROM k) AND target IN (FROM k) GROUP BY 1, 2, 3""",
 )
 def freq_filter_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = graph.frequent_ends(edges_of(spark, sf_dir), 5)
+    e = graph.frequent_ends(materialise(edges_of(spark, sf_dir), "frequent-edges"), 5)
     return e.groupBy("source", "relation", "target").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -115,7 +118,7 @@ def vocab_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"{VOCAB} SELECT s.word_id AS source_id, relation, t.word_id AS target_id, confidence FROM e JOIN v s ON source = s.word JOIN v t ON target = t.word",
 )
 def encode_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = edges_of(spark, sf_dir)
+    e = materialise(edges_of(spark, sf_dir), "encode-edges")  # read for the vocabulary and for both ends
     return graph.encode(e, _vocab(e)).select("source_id", "relation", "target_id", "confidence")
 
 
@@ -215,12 +218,12 @@ def remap_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.query(
     "components",
-    f"""WITH RECURSIVE d AS (SELECT DISTINCT source AS u, target AS v FROM ({EDGES}) WHERE relation = 'has-time'),
+    f"""WITH RECURSIVE d AS (SELECT DISTINCT source AS u, target AS v FROM ({EDGES})),
 b AS (SELECT u, v FROM d UNION SELECT v, u FROM d), r AS (SELECT u AS node, u AS seen FROM b UNION SELECT r.node, b.v FROM r JOIN b ON r.seen = b.u)
 SELECT node, min(seen) AS component FROM r GROUP BY node""",
 )
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components over the edges of all relations; the SQL takes those of ``has-time`` only."""
+    """Components over the edges of all relations."""
     return graph.components(edges_of(spark, sf_dir), "source", "target")
 
 
@@ -251,7 +254,7 @@ def isa_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.closure(isa_edges(spark, sf_dir), "child", "parent")
 
 
-_ISA_PAIRS = "SELECT DISTINCT 's' || l_suppkey AS a, 'c' || o_custkey AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 1"
+_ISA_PAIRS = "SELECT DISTINCT 's' || l_suppkey AS a, 'c' || o_custkey AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey"
 
 
 @registry.query(
@@ -260,7 +263,7 @@ _ISA_PAIRS = "SELECT DISTINCT 's' || l_suppkey AS a, 'c' || o_custkey AS b FROM
 SELECT a, b, 1.0::DOUBLE / (1 + min(x.depth + y.depth)) AS similarity FROM p JOIN c x ON a = x.descendant JOIN c y ON b = y.descendant AND x.ancestor = y.ancestor GROUP BY 1, 2""",
 )
 def path_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Is-a path similarity of suppliers and their customers; the SQL takes those of first lines only."""
+    """Is-a path similarity of suppliers and their customers."""
     l, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     p = l.join(o, l["l_orderkey"] == o["o_orderkey"]).select(
         F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("a"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("b")

@@ -200,13 +200,16 @@ FROM ({_RECORDS}) GROUP BY batch_id""",
 def parse_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counters of each batch with its first ten errors; partial aggregates merge by themselves."""
     r = table(spark, sf_dir, "parse_record").distinct()
-    errors = F.array_sort(F.collect_list(F.when(F.col("error").isNotNull(), F.struct("sentence_id", "error"))))
-    first = F.slice(F.transform(errors, lambda e: e["error"]), 1, 10)
-    return r.groupBy("batch_id").agg(
+    # the rank is cut within partitions, so ten rows of a batch are gathered at most
+    w = Window.partitionBy("batch_id").orderBy("sentence_id", "error")
+    ten = r.where("error IS NOT NULL").select("batch_id", "sentence_id", "error", F.row_number().over(w).alias("k")).where("k <= 10")
+    first = ten.groupBy("batch_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "error"))), lambda e: e["error"]).alias("errors"))
+    counts = r.groupBy("batch_id").agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if("success").alias("success"),
         F.count_if(~F.coalesce("success", F.lit(False))).alias("failed"),
         F.sum("num_triples").alias("triples"),
         mean(F.when(F.col("success"), F.col("parse_score"))).alias("avg_score"),
-        F.when(F.size(first) > 0, first).alias("errors"),
     )
+    first = first.withColumnRenamed("batch_id", "__batch")
+    return counts.join(first, F.col("batch_id").eqNullSafe(F.col("__batch")), "left").drop("__batch")

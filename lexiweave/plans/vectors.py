@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..core.sizing import bounded_join
 from ..functions import vec
+from ..operators import stats
 from ..operators.graph import mean
 from . import Registry, table
 
@@ -160,7 +161,9 @@ def _dim_aggs() -> list[Column]:
 
 @registry.query("dim_stats", f"SELECT dim, {_DIM}, round(median(v), 6) + 0.0 AS median FROM {LONG} GROUP BY dim")
 def dim_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return long_form(spark, sf_dir).groupBy("dim").agg(*_dim_aggs(), r6(F.median("v"), "median"))
+    l = long_form(spark, sf_dir)
+    middle = stats.medians(l, "dim", "v").select("dim", r6(F.col("median"), "median"))
+    return l.groupBy("dim").agg(*_dim_aggs()).join(middle, "dim")
 
 
 @registry.query(

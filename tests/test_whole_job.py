@@ -55,7 +55,7 @@ def parts(links):
 def test_links_of_hubs(spark, opposites, triples, monkeypatch, block):
     monkeypatch.setattr(axes, "PAIR_BLOCK", block)
     want = linked(opposites)
-    assert max(Counter(w for p in opposites for w in p).values()) > axes.HUB
+    assert max(Counter(w for p in opposites for w in p).values()) > 12
     assert sorted(run(spark, triples, "shared_neighbor_pole_edges")) == sorted((a, b, n) for (a, b), n in want.items())
 
 
