@@ -30,6 +30,33 @@ SYNSETS = [
     ("cold.a.01", "a", "cold", "having a low temperature", "a cold morning in winter"),
     ("good.a.01", "a", "good fine", "having desirable qualities", ""),
     ("bad.a.01", "a", "bad", "having undesirable qualities", ""),
+    ("large.a.01", "a", "large big", "of more than usual size or amount", "a large house"),
+    ("huge.a.01", "a", "huge enormous", "of very great size", ""),
+    ("small.a.01", "a", "small little", "of less than usual size or amount", "a small house"),
+    ("tiny.a.01", "a", "tiny", "of very small size", ""),
+    ("happy.a.01", "a", "happy glad", "feeling joy or pleasure", ""),
+    ("sad.a.01", "a", "sad gloomy", "feeling sorrow or grief", ""),
+    ("strong.a.01", "a", "strong powerful", "having much force or strength", ""),
+    ("weak.a.01", "a", "weak feeble", "having little force or strength", ""),
+    ("light.a.01", "a", "light bright", "having much light", ""),
+    ("dark.a.01", "a", "dark dim", "having little light", ""),
+    ("warm.a.01", "a", "warm", "having a fairly high temperature", ""),
+    ("cool.a.01", "a", "cool chilly", "having a fairly low temperature", ""),
+    ("narrow.a.01", "a", "narrow", "of small width", "a narrow bridge"),
+    ("wide.a.01", "a", "wide broad", "of great width", ""),
+    ("ancient.a.01", "a", "ancient", "belonging to times long past", "an ancient harbour"),
+    ("modern.a.01", "a", "modern", "belonging to the present time", ""),
+    ("evil.a.01", "a", "evil wicked", "morally bad", ""),
+    ("organism.n.01", "n", "organism", "a living thing", ""),
+    ("animal.n.01", "n", "animal", "a living organism that moves by itself", ""),
+    ("dog.n.01", "n", "dog dogs", "a tame animal that barks", ""),
+    ("chair.n.01", "n", "chair seat", "a piece of furniture for one person to sit on", ""),
+    ("furniture.n.01", "n", "furniture", "a mass of movable objects in a room", ""),
+    ("stool.n.01", "n", "stool", "a chair without a back", ""),
+    ("abstraction.n.01", "n", "abstraction", "a general idea", ""),
+    ("rule.n.01", "n", "rule", "a principle that one follows", ""),
+    ("carry.v.01", "v", "carry bear", "move something from one place to another", ""),
+    ("rest.v.01", "v", "rest", "be still", ""),
     ("link.v.01", "v", "link join", "connect two things", "the bridge links the land"),
     ("links.n.01", "n", "links", "ground where a game is played", ""),
 ]
@@ -40,6 +67,17 @@ EDGES = [
     ("water.n.01", "hypernym", "thing.n.01"), ("land.n.01", "hypernym", "thing.n.01"), ("word.n.01", "holonym", "phrase.n.01"),
     ("hot.a.01", "antonym", "cold.a.01"), ("cold.a.01", "antonym", "hot.a.01"), ("good.a.01", "antonym", "bad.a.01"), ("bad.a.01", "antonym", "good.a.01"),
     ("hot.a.01", "similar", "good.a.01"), ("word.n.01", "meronym", "language.n.01"),
+    ("large.a.01", "antonym", "small.a.01"), ("small.a.01", "antonym", "large.a.01"), ("huge.a.01", "antonym", "tiny.a.01"), ("tiny.a.01", "antonym", "huge.a.01"),
+    ("happy.a.01", "antonym", "sad.a.01"), ("sad.a.01", "antonym", "happy.a.01"), ("strong.a.01", "antonym", "weak.a.01"), ("weak.a.01", "antonym", "strong.a.01"),
+    ("light.a.01", "antonym", "dark.a.01"), ("dark.a.01", "antonym", "light.a.01"), ("warm.a.01", "antonym", "cool.a.01"), ("cool.a.01", "antonym", "warm.a.01"),
+    ("narrow.a.01", "antonym", "wide.a.01"), ("wide.a.01", "antonym", "narrow.a.01"), ("good.a.01", "antonym", "evil.a.01"), ("evil.a.01", "antonym", "good.a.01"),
+    ("large.a.01", "similar", "huge.a.01"), ("large.a.01", "similar", "wide.a.01"), ("huge.a.01", "similar", "large.a.01"), ("huge.a.01", "similar", "wide.a.01"),
+    ("small.a.01", "similar", "tiny.a.01"), ("small.a.01", "similar", "narrow.a.01"), ("tiny.a.01", "similar", "small.a.01"), ("tiny.a.01", "similar", "narrow.a.01"),
+    ("hot.a.01", "similar", "warm.a.01"), ("warm.a.01", "similar", "good.a.01"), ("cold.a.01", "similar", "cool.a.01"), ("cool.a.01", "similar", "bad.a.01"),
+    ("ancient.a.01", "antonym", "modern.a.01"), ("modern.a.01", "antonym", "ancient.a.01"), ("bad.a.01", "similar", "evil.a.01"), ("evil.a.01", "similar", "bad.a.01"), ("happy.a.01", "similar", "light.a.01"), ("sad.a.01", "similar", "dark.a.01"),
+    ("animal.n.01", "hypernym", "organism.n.01"), ("organism.n.01", "hypernym", "thing.n.01"), ("dog.n.01", "hypernym", "animal.n.01"),
+    ("chair.n.01", "hypernym", "furniture.n.01"), ("furniture.n.01", "hypernym", "thing.n.01"), ("stool.n.01", "hypernym", "chair.n.01"),
+    ("abstraction.n.01", "hypernym", "thing.n.01"), ("rule.n.01", "hypernym", "abstraction.n.01"), ("unit.n.01", "hypernym", "abstraction.n.01"),
 ]
 
 # Confidence of an imported relation.
@@ -129,3 +167,95 @@ def wsd_best(scores: DataFrame, key: str) -> DataFrame:
         F.max(F.struct("score", (-F.col("sense_idx")).alias("i"), "sense_tag")).alias("m"), F.count(F.lit(1)).alias("n")
     )
     return best.select(key, "word", (-F.col("m.i")).alias("sense_idx"), "m.sense_tag", F.when(F.col("n") == 1, F.lit(1.0)).otherwise(F.col("m.score")).alias("score"))
+
+
+#: Shares of the four signals in the combined similarity of two antonym pairs.
+SIGNAL_WEIGHTS = {"transitivity": 0.4, "quadrilateral": 0.3, "definition": 0.2, "hypernym": 0.1}
+
+
+def antonym_signals(synsets: DataFrame, edges: DataFrame, closure: DataFrame) -> DataFrame:
+    """(p1, p2, transitivity, quadrilateral, definition, hypernym, combined) of pairs of antonym pairs with a signal above zero.
+
+    A pair ``p`` is ``synset1|synset2`` in order. Transitivity: a shared synset or lemma. Quadrilateral: mean of the Jaccard
+    overlaps of the first and of the second synsets' similar ones. Definition: TF-IDF cosine of both definitions
+    together, ln(N / (1 + df)) over the pairs. Hypernym: Jaccard of all hypernyms of both, themselves included.
+    Candidates come from equi-joins on what two pairs share, so pairs without any signal are never made.
+    """
+    pairs = edges.where("kind = 'antonym'").select(F.least("src", "dst").alias("s1"), F.greatest("src", "dst").alias("s2")).distinct()
+    pairs = pairs.select(F.concat_ws("|", "s1", "s2").alias("p"), "s1", "s2")
+    sides = pairs.select("p", F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("s1").alias("synset_id")), F.struct(F.lit(2).alias("side"), F.col("s2").alias("synset_id")))).alias("x"))
+    sides = sides.select("p", "x.side", "x.synset_id")
+    lemmas = synsets.select("synset_id", F.explode("lemmas").alias("item"))
+
+    def shared(items: DataFrame, *same: str) -> DataFrame:
+        """(p1, p2, *same, i): number of equal items of two pairs."""
+        b = items.withColumnRenamed("p", "p2")
+        j = items.withColumnRenamed("p", "p1").join(b, [*same, "item"]).where("p1 < p2")
+        return j.groupBy("p1", "p2", *same).agg(F.count(F.lit(1)).alias("i"))
+
+    def jaccard(items: DataFrame, *same: str) -> DataFrame:
+        n = items.groupBy("p", *same).agg(F.count(F.lit(1)).alias("n"))
+        j = shared(items, *same).join(n.withColumnsRenamed({"p": "p1", "n": "n1"}), ["p1", *same]).join(n.withColumnsRenamed({"p": "p2", "n": "n2"}), ["p2", *same])
+        return j.select("p1", "p2", *same, (F.col("i") / (F.col("n1") + F.col("n2") - F.col("i") + 1e-6)).alias("x"))
+
+    ends = sides.select("p", F.col("synset_id").alias("item")).unionByName(sides.join(lemmas, "synset_id").select("p", "item")).distinct()
+    transitivity = shared(ends).select("p1", "p2", F.lit("transitivity").alias("k"), F.lit(1.0).alias("x"))
+    near = edges.where("kind = 'similar'").select(F.col("src").alias("synset_id"), F.col("dst").alias("item"))
+    quads = jaccard(sides.join(near, "synset_id").select("p", "side", "item").distinct(), "side")
+    quads = quads.groupBy("p1", "p2").agg((F.sum("x") / 2).alias("x")).select("p1", "p2", F.lit("quadrilateral").alias("k"), "x")
+    up = jaccard(sides.join(closure.withColumnRenamed("descendant", "synset_id"), "synset_id").select("p", F.col("ancestor").alias("item")).distinct())
+    up = up.select("p1", "p2", F.lit("hypernym").alias("k"), "x")
+    bags = sides.join(synsets.select("synset_id", content_words(F.coalesce("definition", F.lit(""))).alias("ws")), "synset_id")
+    words = bags.select("p", F.explode("ws").alias("item"))
+    size = words.groupBy("p").agg(F.count(F.lit(1)).alias("size"))
+    counts = words.groupBy("p", "item").agg(F.count(F.lit(1)).alias("c"))
+    df = counts.groupBy("item").agg(F.count(F.lit(1)).alias("df"))
+    total = pairs.agg(F.count(F.lit(1)).alias("pairs"))
+    v = counts.join(size, "p").join(df, "item").join(F.broadcast(total)).select("p", "item", (F.col("c") / F.col("size") * F.log(F.col("pairs") / (1 + F.col("df")))).alias("w"))
+    norm = v.groupBy("p").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dot = v.withColumnsRenamed({"p": "p1", "w": "w1"}).join(v.withColumnsRenamed({"p": "p2", "w": "w2"}), "item").where("p1 < p2").groupBy("p1", "p2").agg(F.sum(F.col("w1") * F.col("w2")).alias("dot"))
+    cosine = dot.join(norm.withColumnsRenamed({"p": "p1", "norm": "n1"}), "p1").join(norm.withColumnsRenamed({"p": "p2", "norm": "n2"}), "p2")
+    cosine = cosine.select("p1", "p2", F.lit("definition").alias("k"), F.coalesce(F.try_divide("dot", F.col("n1") * F.col("n2")), F.lit(0.0)).alias("x"))
+    every = transitivity.unionByName(quads).unionByName(cosine).unionByName(up)
+    signals = {k: F.coalesce(F.max(F.when(F.col("k") == k, F.col("x"))), F.lit(0.0)) for k in SIGNAL_WEIGHTS}
+    out = every.groupBy("p1", "p2").agg(*[(F.round(c, 6) + 0.0).alias(k) for k, c in signals.items()], F.round(sum((SIGNAL_WEIGHTS[k] * c for k, c in signals.items()), F.lit(0.0)), 6).alias("combined"))
+    return out.where("combined > 0")
+
+
+def expand(synsets: DataFrame, edges: DataFrame, seeds: DataFrame, kind: str, pos: str | None = None, first: int = 3, near: int = 2) -> DataFrame:
+    """(*seed columns, word): seeds, lemmas of their first senses, and of the first ``near`` synsets that ``kind`` leads to; single words only."""
+    s = senses(synsets if pos is None else synsets.where(F.col("pos") == pos)).where(F.col("sense_idx") < first).select(F.col("word").alias("seed"), "synset_id")
+    keys = seeds.columns
+    own = seeds.join(s, "seed").select(*keys, "synset_id")
+    e = edges.where(F.col("kind") == kind).select(F.col("src").alias("synset_id"), "dst").distinct()
+    w = Window.partitionBy(*keys, "synset_id").orderBy("dst")
+    far = own.join(e, "synset_id").withColumn("k", F.row_number().over(w)).where(F.col("k") <= near).select(*keys, F.col("dst").alias("synset_id"))
+    lemmas = synsets.select("synset_id", F.explode("lemmas").alias("l")).select("synset_id", F.translate(F.lower("l"), "_", " ").alias("word"))
+    words = own.unionByName(far).join(lemmas, "synset_id").select(*keys, "word").unionByName(seeds.select(*keys, F.col("seed").alias("word")))
+    return words.where(~F.col("word").contains(" ")).distinct()
+
+
+def word_paths(synsets: DataFrame, closure: DataFrame) -> DataFrame:
+    """(w1, w2, path): 1 / (1 + shortest path over a common hypernym) of the words' senses, for w1 < w2 that have one."""
+    above = senses(synsets).select("word", "synset_id").join(closure, F.col("synset_id") == F.col("descendant"))
+    best = above.groupBy("word", "ancestor").agg(F.min("depth").alias("d"))
+    j = best.toDF("w1", "ancestor", "d1").join(best.toDF("w2", "ancestor", "d2"), "ancestor").where("w1 < w2")
+    return j.groupBy("w1", "w2").agg((1.0 / (1 + F.min(F.col("d1") + F.col("d2")))).alias("path"))
+
+
+def noun_features(synsets: DataFrame, closure: DataFrame) -> DataFrame:
+    """(synset_id, animacy, living, embodiment, countability) of nouns, by their hypernyms and definition."""
+    up = closure.groupBy(F.col("descendant").alias("synset_id")).agg(*[
+        F.bool_or(F.col("ancestor").rlike(p)).alias(n)
+        for n, p in (("animate", "person|animal|organism"), ("living", "organism|living_thing"), ("abstract", "abstraction|psychological_feature"))
+    ])
+    n = synsets.where("pos = 'n'").join(up, "synset_id", "left")
+
+    def either(c: str, yes: str, no: str) -> Column:
+        return F.when(F.coalesce(F.col(c), F.col("synset_id").rlike("person|animal|organism") if c != "abstract" else F.lit(False)), F.lit(yes)).otherwise(F.lit(no))
+
+    mass = F.lower("definition").rlike("amount|mass|substance")
+    return n.select(
+        "synset_id", either("animate", "animate", "inanimate").alias("animacy"), either("living", "living", "nonliving").alias("living"),
+        either("abstract", "abstract", "physical").alias("embodiment"), F.when(mass, F.lit("uncountable")).otherwise(F.lit("countable")).alias("countability"),
+    )

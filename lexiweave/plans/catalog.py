@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import Entry, anchors, axes, features, graph, jobs, lexicon, parsing, skew, text, vectors
+from . import Entry, anchors, axes, features, graph, jobs, lexicon, parsing, signals, skew, text, vectors
 
-MODULES = [skew, text, graph, lexicon, vectors, axes, anchors, parsing, jobs, features]
+MODULES = [skew, text, graph, lexicon, vectors, axes, anchors, parsing, jobs, features, signals]
 
 
 def entries() -> dict[str, Entry]:
