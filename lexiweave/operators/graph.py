@@ -108,7 +108,8 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
     Alternating large-star and small-star rounds; the number of rounds grows with the
     logarithm of the component size. Each round is written to the shared folder, which cuts
     lineage and survives lost executors. A hub's neighbours are never gathered in one row:
-    only the minimum of each neighbourhood is aggregated, map-side first.
+    only the minimum of each neighbourhood is aggregated, map-side first, and both joins have one row for each
+    node on the right, so that Spark's adaptive skew join can split a hub's partition on the left.
     """
     now = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
     now = materialise(now.distinct(), "component-edges")  # whatever made the edges runs once

@@ -154,7 +154,7 @@ def overlap_score(near: Column, gloss: Column, upper: Column, example: Column) -
 def wsd_scores(contexts: DataFrame, key: str, word: Column, near: Column, profiles: DataFrame) -> DataFrame:
     """Score of every candidate sense of every occurrence; words without senses drop out."""
     c = contexts.select(F.col(key), word.alias("word"), F.array_distinct(near).alias("near"))
-    j = bounded_join(c, profiles, "word")
+    j = bounded_join(c, profiles, "word", spread=[key])
     return j.select(key, "word", "sense_idx", "sense_tag", F.round(overlap_score(F.col("near"), F.col("gloss"), F.col("upper"), F.col("example")), 6).alias("score"))
 
 

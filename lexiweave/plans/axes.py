@@ -77,9 +77,15 @@ def pole_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def triads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Triangles a < b < c: wedges from ordered edges, closed by an equi-join."""
-    p = opposites(spark, sf_dir)
-    x, y = p.toDF("a", "b"), p.toDF("b", "c")
-    return x.join(y, "b").join(p.toDF("a", "c"), ["a", "c"], "left_semi").select("a", "b", "c")
+    p = written_opposites(spark, sf_dir)
+    # edges point from the word of fewer opposites to that of more, so that no word has many that point away
+    n = p.select(F.explode(F.array("w1", "w2")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    d = bounded_join(bounded_join(p, n.toDF("w1", "n1"), "w1", spread=["w2"]), n.toDF("w2", "n2"), "w2", spread=["w1"])
+    up = F.struct("n1", "w1") < F.struct("n2", "w2")
+    e = materialise(d.select(F.when(up, F.col("w1")).otherwise(F.col("w2")).alias("u"), F.when(up, F.col("w2")).otherwise(F.col("w1")).alias("v")), "ordered-opposites")
+    wedges = bounded_join(e.toDF("u", "x"), e.toDF("u", "y"), "u", spread=["x"]).where("x < y").select("u", F.col("x").alias("w1"), F.col("y").alias("w2"))
+    t = F.array_sort(F.array("u", "w1", "w2"))
+    return wedges.join(p, ["w1", "w2"], "left_semi").select(t[0].alias("a"), t[1].alias("b"), t[2].alias("c"))
 
 
 @registry.query(

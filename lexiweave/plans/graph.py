@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..core.session import materialise
-from ..core.sizing import spread
+from ..core.sizing import bounded_join, spread
 from ..core.terms import relation_name, relation_name_sql, term, term_sql
 from ..functions import text as fx
 from ..operators import graph
@@ -142,8 +142,10 @@ SELECT DISTINCT a.source, b.target FROM d a JOIN d b ON a.target = b.source WHER
 )
 def transitive_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = edges_of(spark, sf_dir).where("relation = 'describes'").select("source", "target").distinct()
+    d = materialise(d, "describes")
     b = d.select(F.col("source").alias("target"), F.col("target").alias("far"))
-    return d.join(b, "target").where("source <> far").select("source", F.col("far").alias("target")).distinct()
+    # a hub in the middle is spread over tasks; its pairs are distinct already where they are made
+    return bounded_join(d, b, "target", spread=["source"]).where("source <> far").select("source", F.col("far").alias("target")).distinct()
 
 
 _OTHER = f"SELECT DISTINCT {term_sql('word')} AS word FROM graph_node WHERE {term_sql('word')} IS NOT NULL"

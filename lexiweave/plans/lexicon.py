@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from ..core.session import materialise
+from ..core.sizing import bounded_join
 from ..core.terms import term, term_sql
 from ..functions import text as fx
 from ..operators import lexicon
@@ -118,54 +120,67 @@ def idf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.join(F.broadcast(n)).select("w", (F.round(F.log(F.col("n") / (1 + F.col("df"))), 6) + F.lit(0.0)).alias("idf"))
 
 
-_TFIDF = f"""d AS {_DOCS}, i AS (SELECT w, ln((SELECT count(*) FROM d)::DOUBLE / (1 + count(*))) AS idf, count(*) AS df FROM (SELECT unnest(ws) AS w FROM d) GROUP BY w),
-v AS (SELECT sentence_id, w, count(*)::DOUBLE / any_value(n) * any_value(idf) AS x, any_value(df) AS df FROM (SELECT sentence_id, unnest(bag) AS w, len(bag) AS n FROM d) JOIN i USING (w) GROUP BY 1, 2),
+_TFIDF = f"""d AS {_DOCS}, i AS (SELECT w, ln((SELECT count(*) FROM d)::DOUBLE / (1 + count(*))) AS idf FROM (SELECT unnest(ws) AS w FROM d) GROUP BY w),
+v AS (SELECT sentence_id, w, count(*)::DOUBLE / any_value(n) * any_value(idf) AS x FROM (SELECT sentence_id, unnest(bag) AS w, len(bag) AS n FROM d) JOIN i USING (w) GROUP BY 1, 2),
 m AS (SELECT sentence_id, sqrt(sum(x * x)) AS norm FROM v GROUP BY 1)"""
+#: Sentences that come out for one that is asked for.
+NEAREST = 10
 
 
 @registry.query(
     "tfidf_cosine",
-    f"""WITH {_TFIDF}, p AS (SELECT DISTINCT a.sentence_id AS s1, b.sentence_id AS s2 FROM v a JOIN v b ON a.w = b.w AND a.sentence_id < b.sentence_id WHERE a.df <= 3)
-SELECT s1, s2, round(sum(a.x * b.x) / (any_value(n1.norm) * any_value(n2.norm)), 6) AS cosine FROM p JOIN v a ON a.sentence_id = s1 JOIN v b ON b.sentence_id = s2 AND a.w = b.w
-JOIN m n1 ON n1.sentence_id = s1 JOIN m n2 ON n2.sentence_id = s2 GROUP BY s1, s2""",
+    f"""WITH {_TFIDF}, c AS (SELECT a.sentence_id AS s1, b.sentence_id AS s2, round(sum(a.x * b.x) / (any_value(n1.norm) * any_value(n2.norm)), 6) AS cosine
+  FROM v a JOIN v b ON a.w = b.w AND a.sentence_id <> b.sentence_id JOIN m n1 ON n1.sentence_id = a.sentence_id JOIN m n2 ON n2.sentence_id = b.sentence_id
+  WHERE a.sentence_id % 100 = 0 AND n1.norm > 0 AND n2.norm > 0 GROUP BY 1, 2)
+SELECT s1, s2, cosine, rank FROM (SELECT *, row_number() OVER (PARTITION BY s1 ORDER BY cosine DESC, s2) AS rank FROM c) WHERE rank <= {NEAREST}""",
 )
 def tfidf_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TF-IDF cosine of sentences that share a rare word (at most three sentences have it), so pairs stay linear in the input."""
-    d = docs(spark, sf_dir)
+    """The ten sentences nearest by TF-IDF cosine to each sentence whose id is divisible by 100, among all that share a word with it.
+
+    Products meet on the word, with common words spread over tasks, and are added map-side.
+    """
+    d = materialise(docs(spark, sf_dir), "tfidf-docs")
     n = d.agg(F.count(F.lit(1)).alias("n"))
     df = d.select(F.explode("ws").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    i = df.join(F.broadcast(n)).select("w", "df", F.log(F.col("n") / (1 + F.col("df"))).alias("idf"))
+    i = df.join(F.broadcast(n)).select("w", F.log(F.col("n") / (1 + F.col("df"))).alias("idf"))
     tf = d.select("sentence_id", F.size("bag").alias("k"), F.explode("bag").alias("w")).groupBy("sentence_id", "w", "k").agg(F.count(F.lit(1)).alias("c"))
-    v = tf.join(i, "w").select("sentence_id", "w", "df", (F.col("c") / F.col("k") * F.col("idf")).alias("x"))
-    vectors = v.groupBy("sentence_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "x"))).alias("m"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    rare = v.where("df <= 3").select("sentence_id", "w")
-    p = rare.join(rare.withColumnRenamed("sentence_id", "s2"), "w").where("sentence_id < s2").select(F.col("sentence_id").alias("s1"), "s2").distinct()
-    a = vectors.select(F.col("sentence_id").alias("s1"), F.col("m").alias("ma"), F.col("norm").alias("na"))
-    b = vectors.select(F.col("sentence_id").alias("s2"), F.col("m").alias("mb"), F.col("norm").alias("nb"))
-    dot = F.aggregate(F.map_entries("ma"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at("mb", e["key"]), F.lit(0.0)))
-    return p.join(a, "s1").join(b, "s2").select("s1", "s2", F.round(F.try_divide(dot, F.col("na") * F.col("nb")), 6).alias("cosine"))
+    v = materialise(bounded_join(tf, i, "w", spread=["sentence_id"]).select("sentence_id", "w", (F.col("c") / F.col("k") * F.col("idf")).alias("x")), "tfidf")
+    norm = v.groupBy("sentence_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm")).where("norm > 0")
+    asked = v.where("sentence_id % 100 = 0").select("w", F.col("sentence_id").alias("s1"), F.col("x").alias("x1"))
+    met = bounded_join(v, asked, "w", spread=["sentence_id"]).where("s1 <> sentence_id")
+    dot = met.groupBy("s1", F.col("sentence_id").alias("s2")).agg(F.sum(F.col("x1") * F.col("x")).alias("dot"))
+    j = bounded_join(bounded_join(dot, norm.toDF("s1", "n1"), "s1"), norm.toDF("s2", "n2"), "s2")
+    c = j.select("s1", "s2", F.round(F.col("dot") / (F.col("n1") * F.col("n2")), 6).alias("cosine"))
+    w = Window.partitionBy("s1").orderBy(F.desc("cosine"), "s2")
+    return c.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= NEAREST)
 
 
-_NEAR = f"""(SELECT context_id, {term_sql('word')} AS word, list_distinct(list_filter(list_transform(neighbors, lambda x: {term_sql('x')}), lambda x: x IS NOT NULL)) AS near, sentence_id
-FROM (SELECT DISTINCT context_id, sentence_id, word, neighbors FROM word_context) WHERE neighbors IS NOT NULL AND {term_sql('word')} IS NOT NULL)"""
+_NEAR = f"""(SELECT context_id, {term_sql('word')} AS word, list_distinct(list_filter(list_transform(neighbors, lambda x: {term_sql('x')}), lambda x: x IS NOT NULL)) AS near
+FROM (SELECT DISTINCT context_id, word, neighbors FROM word_context) WHERE neighbors IS NOT NULL AND {term_sql('word')} IS NOT NULL)"""
 
 
 @registry.query(
     "pair_signals",
-    f"""WITH c AS {_NEAR}, p AS (SELECT a.context_id AS c1, b.context_id AS c2, a.word = b.word OR len(list_intersect(a.near, b.near)) > 0 AS joined,
-  len(list_intersect(a.near, b.near)) AS i, len(list_distinct(list_concat(a.near, b.near))) AS u, a.word = b.word AS same
-  FROM c a JOIN c b ON a.sentence_id = b.sentence_id AND a.context_id < b.context_id)
-SELECT c1, c2, joined::INT AS transitivity, round(i / (u + 1e-6), 6) AS jaccard, round(0.4 * joined::INT + 0.3 * (i / (u + 1e-6)) + 0.1 * same::INT, 6) AS combined FROM p""",
+    f"""WITH c AS {_NEAR}, p AS (SELECT a.context_id AS c1, b.context_id AS c2, len(list_intersect(a.near, b.near)) AS i, len(a.near) + len(b.near) AS n, a.word = b.word AS same
+  FROM c a JOIN c b ON a.context_id <> b.context_id WHERE a.context_id % 100 = 0 AND (a.word = b.word OR len(list_intersect(a.near, b.near)) > 0)),
+s AS (SELECT c1, c2, 1 AS transitivity, round(i / (n - i + 1e-6), 6) AS jaccard, round(0.4 + 0.3 * (i / (n - i + 1e-6)) + 0.1 * same::INT, 6) AS combined FROM p)
+SELECT c1, c2, transitivity, jaccard, combined, rank FROM (SELECT *, row_number() OVER (PARTITION BY c1 ORDER BY combined DESC, c2) AS rank FROM s) WHERE rank <= {NEAREST}""",
 )
 def pair_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Transitivity, Jaccard and their weighted sum for the contexts of one sentence, blocked by sentence."""
-    c = table(spark, sf_dir, "word_context").select("context_id", "sentence_id", "word", "neighbors").where("neighbors IS NOT NULL").distinct()
+    """The ten contexts nearest to each one whose id is divisible by 100: a shared word or neighbour (0.4), the Jaccard overlap
+    of the neighbours (0.3), the same word (0.1). The four signals of antonym pairs are in ``antonym_signals``.
+
+    Candidates meet on a neighbour or on the word, with common ones spread over tasks; counts add up map-side.
+    """
+    c = table(spark, sf_dir, "word_context").select("context_id", "word", "neighbors").where("neighbors IS NOT NULL").distinct()
     near = F.array_distinct(F.filter(F.transform("neighbors", term), lambda x: x.isNotNull()))
-    c = c.select("context_id", "sentence_id", term("word").alias("word"), near.alias("near")).where("word IS NOT NULL")
-    b = c.withColumnsRenamed({"context_id": "c2", "word": "w2", "near": "n2"})
-    i = F.size(F.array_intersect("near", "n2"))
-    jaccard = i / (F.size(F.array_union("near", "n2")) + 1e-6)
-    same = (F.col("word") == F.col("w2")).cast("int")
-    joined = ((F.col("word") == F.col("w2")) | (i > 0)).cast("int")
-    p = c.join(b, "sentence_id").where("context_id < c2")
-    return p.select(F.col("context_id").alias("c1"), "c2", joined.alias("transitivity"), F.round(jaccard, 6).alias("jaccard"), F.round(0.4 * joined + 0.3 * jaccard + 0.1 * same, 6).alias("combined"))
+    c = materialise(c.select("context_id", term("word").alias("word"), near.alias("near")).where("word IS NOT NULL"), "contexts")
+    held = F.explode(F.concat(F.array(F.struct(F.lit("word").alias("k"), F.col("word").alias("t"))), F.transform("near", lambda t: F.struct(F.lit("near").alias("k"), t.alias("t")))))
+    items = materialise(c.select("context_id", F.size("near").alias("size"), held.alias("x")).select("context_id", "size", "x.k", "x.t"), "context-items")
+    asked = items.where("context_id % 100 = 0").select("k", "t", F.col("context_id").alias("c1"), F.col("size").alias("n1"))
+    met = bounded_join(items, asked, ["k", "t"], spread=["context_id"]).where("c1 <> context_id")
+    s = met.groupBy("c1", F.col("context_id").alias("c2")).agg(F.count_if(F.col("k") == "near").alias("i"), F.count_if(F.col("k") == "word").alias("same"), (F.max("n1") + F.max("size")).alias("n"))
+    jaccard = F.col("i") / (F.col("n") - F.col("i") + 1e-6)
+    s = s.select("c1", "c2", F.lit(1).alias("transitivity"), F.round(jaccard, 6).alias("jaccard"), F.round(0.4 + 0.3 * jaccard + 0.1 * F.col("same"), 6).alias("combined"))
+    w = Window.partitionBy("c1").orderBy(F.desc("combined"), "c2")
+    return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= NEAREST)
