@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..core.session import materialise
+from ..core.sizing import bounded_join
 from ..functions import vec
 from ..functions.features import DISTANCES
 
@@ -45,7 +46,7 @@ def initial_vectors(words: DataFrame, dims: int, seed: int = 7) -> DataFrame:
 def _joined(edges: DataFrame, vectors: DataFrame) -> DataFrame:
     a = vectors.select(F.col("word").alias("source"), F.col("v").alias("a"))
     b = vectors.select(F.col("word").alias("target"), F.col("v").alias("b"))
-    j = edges.join(a, "source").join(b, "target")
+    j = bounded_join(bounded_join(edges, a, "source", spread=["target"]), b, "target", spread=["source"])
     return j.withColumn("d", vec.euclid(F.col("a"), F.col("b"))).withColumn("miss", F.col("d") - F.col("distance"))
 
 
@@ -87,50 +88,150 @@ def train(edges: DataFrame, vectors: DataFrame, epochs: int = 3, rate: float = 0
     return now, losses
 
 
+def validated(edges: DataFrame, vectors: DataFrame, epochs: int = 3, rate: float = 0.2, held_out: int = 10, anchors: int = 0, patience: int = 3) -> tuple[DataFrame, list[tuple[int, float, float]]]:
+    """The vectors of the best epoch, and (epoch, training loss, validation loss) of each.
+
+    One in ``held_out`` edges, by the hash of its words, is kept for validation. Training stops when the
+    validation loss has not fallen for ``patience`` epochs; epoch 0 stands before the first step.
+    """
+    kept = F.pmod(F.xxhash64("source", "target"), F.lit(held_out)) == 0
+    edges = materialise(edges, "train-edges")
+    fit, check = edges.where(~kept), edges.where(kept)
+    now = best = materialise(vectors, "train-vectors")
+    history: list[tuple[int, float, float]] = []
+    least, at = float("inf"), 0
+    for epoch in range(epochs + 1):
+        if epoch:
+            now = materialise(step(fit, now, rate, anchors), "train-vectors")
+        here = (epoch, loss(fit, now).first()["loss"], loss(check, now).first()["loss"])
+        history.append(here)
+        if here[2] is not None and here[2] < least:
+            least, at, best = here[2], epoch, now
+        elif epoch - at >= patience:
+            break
+    return best, history
+
+
+def _trees(parsed: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(sentence_id, edges, words): the vectors of each sentence's nodes in one row, which a sentence's length bounds."""
+    rows = parsed.where("success").select("sentence_id", "nodes", "edges")
+    nodes = rows.select("sentence_id", F.posexplode("nodes").alias("i", "n")).select("sentence_id", "i", F.lower("n.text").alias("word"))
+    found = bounded_join(nodes, vectors.select("word", "v"), "word", "left", spread=["sentence_id", "i"])
+    words = found.groupBy("sentence_id").agg(F.collect_list(F.struct("i", "v")).alias("words"))
+    return rows.select("sentence_id", "edges").join(words, "sentence_id")
+
+
+def _folded(edges: list | None, words: list, dims: int) -> tuple[list, dict, int]:
+    """Vector of every node of a tree with all below it, the nodes below each, and the root."""
+    import numpy as np
+
+    n = max(w["i"] for w in words) + 1
+    x = np.zeros((n, dims))
+    for w in words:
+        if w["v"] is not None:
+            x[w["i"]] = w["v"]
+    below: dict[int, list[tuple[str, int]]] = {}
+    child = set()
+    for e in edges or []:
+        below.setdefault(e["parent"], []).append((e["type"], e["child"]))
+        child.add(e["child"])
+    done: list = [None] * n
+
+    def down(i: int, path: frozenset) -> np.ndarray:
+        out = x[i].copy()
+        for kind, c in below.get(i, ()):
+            if c in path:
+                continue
+            v = down(c, path | {i})
+            if kind == "DESCRIPTION":
+                out = out * v
+            elif kind == "SPECIFICATION":
+                out = out * (1 + 0.2 * v.mean())
+            elif kind == "COORDINATION":
+                out = (out + v) / 2
+            else:
+                out = out + vec.ADDED.get(kind, 0.5) * v
+        done[i] = out
+        return out
+
+    root = next((i for i in range(n) if i not in child), 0)
+    for i in [root, *(j for j in range(n) if j not in child)]:
+        if done[i] is None:
+            down(i, frozenset())
+    return done, below, root
+
+
 def tree_vectors(parsed: DataFrame, vectors: DataFrame, dims: int) -> DataFrame:
     """(sentence_id, v): each parse tree folded bottom-up into its root by ``compose``, words without vectors are zero.
 
-    The words' vectors are joined to the tree nodes by key; each sentence's tree is folded in
-    one Arrow group, which a sentence's length bounds.
+    The words' vectors are joined to the tree nodes by key; trees are folded batch by batch.
     """
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            ids, edges, words = (c.to_pylist() for c in b.columns)
+            if ids:
+                folded = [_folded(e, w, dims) for e, w in zip(edges, words)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([d[r].tolist() for d, _, r in folded], pa.list_(pa.float64()))], names=["sentence_id", "v"])
+
+    return _trees(parsed, vectors).mapInArrow(run, "sentence_id long, v array<double>")
+
+
+def composition_tests(parsed: DataFrame, vectors: DataFrame, dims: int) -> DataFrame:
+    """(sentence_id, kind, x): the tests of a composition. ``whole``: the cosine of each node that has nodes below it with
+    its root. Other kinds are edge types: the difference of the unit vectors of parent and child."""
     import numpy as np
     import pyarrow as pa
 
-    nodes = parsed.where("success").select("sentence_id", "edges", F.posexplode("nodes").alias("i", "n"))
-    with_vectors = nodes.join(vectors.select(F.col("word").alias("__w"), "v"), F.lower("n.text") == F.col("__w"), "left")
-    rows = with_vectors.select("sentence_id", "i", "edges", F.col("n.text").isNotNull().alias("real"), "v")
-
-    def fold(t: pa.Table) -> pa.Table:
-        t = t.sort_by("i")
-        at = t.column("i").to_pylist()
-        n = max(at) + 1
-        x = np.zeros((n, dims))
-        for i, v in zip(at, t.column("v").to_pylist()):
-            if v is not None:
-                x[i] = v
-        below: dict[int, list[tuple[str, int]]] = {}
-        child = set()
-        for e in t.column("edges")[0].as_py() or []:
-            below.setdefault(e["parent"], []).append((e["type"], e["child"]))
-            child.add(e["child"])
-
-        def down(i: int, path: frozenset) -> np.ndarray:
-            out = x[i].copy()
-            for kind, c in below.get(i, ()):
-                if c in path:
-                    continue
-                v = down(c, path | {i})
-                if kind == "DESCRIPTION":
-                    out = out * v
-                elif kind == "SPECIFICATION":
-                    out = out * (1 + 0.2 * v.mean())
-                elif kind == "COORDINATION":
-                    out = (out + v) / 2
-                else:
-                    out = out + vec.ADDED.get(kind, 0.5) * v
-            return out
-
-        root = next((i for i in range(n) if i not in child), 0)
-        return pa.table({"sentence_id": t.column("sentence_id").slice(0, 1), "v": pa.array([down(root, frozenset()).tolist()], pa.list_(pa.float64()))})
-
-    return rows.groupBy("sentence_id").applyInArrow(fold, "sentence_id long, v array<double>")
+    def unit(v):
+        n = np.linalg.norm(v)
+        return v / n if n > 1e-8 else None
+
+    def run(batches):
+        for b in batches:
+            out: list[tuple[int, str, list[float]]] = []
+            for s, edges, words in zip(*(c.to_pylist() for c in b.columns)):
+                done, below, root = _folded(edges, words, dims)
+                whole = unit(done[root])
+                for p, kids in below.items():
+                    u = unit(done[p]) if done[p] is not None else None
+                    if p != root and whole is not None and u is not None:
+                        out.append((s, "whole", [float(whole @ u)]))
+                    for kind, c in kids:
+                        w = unit(done[c]) if done[c] is not None else None
+                        if u is not None and w is not None:
+                            out.append((s, kind, (u - w).tolist()))
+            if out:
+                ids, kinds, xs = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(kinds), pa.array(xs, pa.list_(pa.float64()))], names=["sentence_id", "kind", "x"])
+
+    return _trees(parsed, vectors).mapInArrow(run, "sentence_id long, kind string, x array<double>")
+
+
+def composition_loss(tests: DataFrame) -> DataFrame:
+    """(kind, tests, loss): squared shortfall of ``whole`` below 0.3; a tenth of the mean variance of an edge type's differences.
+
+    Variances come from sums by dimension, so all instances of a type count.
+    """
+    whole = tests.where("kind = 'whole'").select(F.greatest(F.lit(0.0), 0.3 - F.col("x")[0]).alias("d"))
+    first = whole.agg(F.lit("whole").alias("kind"), F.count(F.lit(1)).alias("tests"), F.sum(F.col("d") * F.col("d")).alias("loss"))
+    dims = tests.where("kind <> 'whole'").select("kind", F.posexplode("x").alias("dim", "x")).groupBy("kind", "dim").agg(F.count(F.lit(1)).alias("tests"), F.var_pop("x").alias("v"))
+    kinds = dims.groupBy("kind").agg(F.max("tests").alias("tests"), (0.1 * F.avg("v")).alias("loss")).where("tests > 1")
+    return first.unionByName(kinds)
+
+
+#: Target distance of parent and child by edge type; others 0.5.
+TREE_DISTANCE = {"DESCRIPTION": 0.3, "SPECIFICATION": 0.3, "MODIFICATION": 0.4, "SUBJECT": 0.4, "OBJECT": 0.4, "COORDINATION": 0.2}
+
+
+def tree_loss(parsed: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(type, edges, loss): mean squared error of the distance of two words that an edge joins against the type's target."""
+    p = parsed.where("success").select("nodes", F.explode("edges").alias("e"))
+    ends = p.select("e.type", F.lower(F.col("nodes")[F.col("e.parent")]["text"]).alias("source"), F.lower(F.col("nodes")[F.col("e.child")]["text"]).alias("target"))
+    want = F.lit(0.5)
+    for name, d in TREE_DISTANCE.items():
+        want = F.when(F.col("type") == name, F.lit(d)).otherwise(want)
+    rows = ends.where("source IS NOT NULL AND target IS NOT NULL").groupBy("type", "source", "target").agg(F.count(F.lit(1)).alias("n"))
+    j = _joined(rows.withColumn("distance", want), vectors)
+    return j.groupBy("type").agg(F.sum("n").alias("edges"), F.try_divide(F.sum(F.col("n") * F.col("miss") * F.col("miss")), F.sum("n")).alias("loss"))

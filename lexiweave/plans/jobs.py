@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..core.session import shared_dir
+from ..core.session import materialise, shared_dir
 from ..operators import train
 from ..sources import sinks
 from ..streaming import streams
@@ -27,6 +27,33 @@ def train_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(list(enumerate(losses)), "epoch int, loss double")
 
 
+@registry.query("train_validation")
+def train_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training and validation loss of each epoch; a tenth of the edges is held out, six anchor dimensions keep still."""
+    e = train.training_edges(edges_of(spark, sf_dir))
+    words = e.select(F.explode(F.array("source", "target")).alias("word"))
+    _, history = train.validated(e, train.initial_vectors(words, DIMS), epochs=3, anchors=6)
+    return spark.createDataFrame(history, "epoch int, loss double, validation double")
+
+
+def _tree_words(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    p = materialise(parsed(spark, sf_dir), "parsed")
+    words = p.where("success").select(F.explode("nodes").alias("n")).select(F.lower("n.text").alias("word")).where("word IS NOT NULL")
+    return p, train.initial_vectors(words, DIMS)
+
+
+@registry.query("composition_loss")
+def composition_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well the vectors of parts agree with the whole, and how alike an edge type's differences are."""
+    return train.composition_loss(materialise(train.composition_tests(*_tree_words(spark, sf_dir), DIMS), "composition"))
+
+
+@registry.query("tree_loss")
+def tree_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distance error of the words that parse edges join, by edge type."""
+    return train.tree_loss(*_tree_words(spark, sf_dir))
+
+
 @registry.query("encode_sentences")
 def encode_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentence vectors composed along the parse trees."""

@@ -93,6 +93,19 @@ def synset_edges(synsets: DataFrame) -> DataFrame:
     return e.distinct()
 
 
+def clusters(spark: SparkSession, path: str) -> DataFrame:
+    """(dim, side, word) of {dimension: {side: [words]}}; keys that are no numbers are comments."""
+    raw = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,string>")).alias("dim", "body")).where(F.col("dim").rlike("^[0-9]+$"))
+    sides = raw.select(F.col("dim").cast("int").alias("dim"), F.explode(F.from_json("body", "map<string,array<string>>")).alias("side", "words"))
+    return sides.select("dim", "side", F.explode("words").alias("word"))
+
+
+def dimension_assignments(spark: SparkSession, path: str) -> DataFrame:
+    """(type, dim) of {type: [dimensions]}, the polarity configuration; keys that start with _ are comments."""
+    raw = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,string>")).alias("type", "body")).where(~F.col("type").startswith("_"))
+    return raw.select("type", F.explode(F.from_json("body", "array<int>")).alias("dim"))
+
+
 def vectors(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 

@@ -34,6 +34,22 @@ def save_axes(axes: DataFrame, path: str) -> None:
     axes.write.mode("overwrite").json(path)
 
 
+def save_lexicon(synsets: DataFrame, edges: DataFrame, senses: DataFrame, path: str) -> None:
+    """Synsets as JSON lines with their relations as lists, antonym pairs, and each word's senses; ``readers.synsets`` reads the first."""
+    kinds = {"hypernym": "hypernyms", "hyponym": "hyponyms", "meronym": "meronyms", "holonym": "holonyms", "similar": "similar"}
+    lists = edges.groupBy(F.col("src").alias("synset_id")).agg(*[F.array_sort(F.collect_set(F.when(F.col("kind") == k, F.col("dst")))).alias(n) for k, n in kinds.items()])
+    synsets.join(lists, "synset_id", "left").write.mode("overwrite").json(f"{path}/synsets")
+    antonyms = edges.where("kind = 'antonym'").select(F.least("src", "dst").alias("synset1"), F.greatest("src", "dst").alias("synset2")).distinct()
+    antonyms.write.mode("overwrite").json(f"{path}/antonyms")
+    senses.select("word", "sense_idx", "synset_id", "sense_tag").write.mode("overwrite").json(f"{path}/senses")
+
+
+def save_clusters(clusters: DataFrame, path: str) -> None:
+    """(dim, side, words) as JSON lines, one object for each dimension with its sides as a map."""
+    sides = clusters.groupBy("dim").agg(F.map_from_entries(F.collect_list(F.struct("side", "words"))).alias("sides"))
+    sides.write.mode("overwrite").json(path)
+
+
 def axis_report(axes: DataFrame) -> DataFrame:
     """Summary figures of axes: number, mean size, coherence and separation."""
     return axes.agg(F.count(F.lit(1)).alias("axes"), F.avg("size").alias("size"), F.avg("coherence").alias("coherence"), F.avg("separation").alias("separation"))

@@ -95,3 +95,25 @@ def test_simplex_is_regular():
         v = simplex(n)
         sides = {round(dist(a, b), 9) for i, a in enumerate(v) for b in v[:i]}
         assert len(sides) == 1 and all(abs(sum(x * x for x in a) - 1) < 1e-9 for a in v)
+
+
+def test_lexicon_round_trip(spark, tmp_path):
+    from lexiweave.operators import lexicon
+
+    s, e = lexicon.literal_synsets(spark), lexicon.literal_edges(spark)
+    sinks.save_lexicon(s, e, lexicon.senses(s), str(tmp_path))
+    back = readers.synsets(spark, f"{tmp_path}/synsets")
+    assert {r.synset_id for r in back.collect()} == {x[0] for x in lexicon.SYNSETS}
+    want = {(a, k, b) for a, k, b in lexicon.EDGES if k in ("hypernym", "meronym", "holonym", "similar")}
+    assert {tuple(r) for r in readers.synset_edges(back).collect()} == want
+    assert spark.read.json(f"{tmp_path}/antonyms").count() == len({tuple(sorted((a, b))) for a, k, b in lexicon.EDGES if k == "antonym"})
+
+
+def test_clusters_and_assignments(spark, tmp_path):
+    (tmp_path / "c.json").write_text('{"_note": {"x": []}, "0": {"positive": ["good"], "negative": ["bad", "evil"]}, "4": {"neutral": []}}')
+    (tmp_path / "d.json").write_text('{"_note": "dimensions", "moral": [0, 7], "size": [2]}')
+    assert {tuple(r) for r in readers.clusters(spark, str(tmp_path / "c.json")).collect()} == {(0, "positive", "good"), (0, "negative", "bad"), (0, "negative", "evil")}
+    assert {tuple(r) for r in readers.dimension_assignments(spark, str(tmp_path / "d.json")).collect()} == {("moral", 0), ("moral", 7), ("size", 2)}
+    c = spark.createDataFrame([(0, "positive", ["good"]), (0, "negative", ["bad"])], "dim int, side string, words array<string>")
+    sinks.save_clusters(c, f"{tmp_path}/out")
+    assert [r.sides.asDict() for r in spark.read.json(f"{tmp_path}/out").collect()] == [{"positive": ["good"], "negative": ["bad"]}]
