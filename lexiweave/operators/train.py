@@ -18,10 +18,9 @@ RELATION_DISTANCE = DISTANCES["graph"]
 
 
 def relation_distance(relation: Column, table: dict[str, float] | None = None) -> Column:
-    out = F.when(F.lit(False), F.lit(0.0))
-    for name, d in (table or RELATION_DISTANCE).items():
-        out = out.when(relation == name, F.lit(d))
-    return out
+    """One look-up in a literal map, so that an expression for ``relation`` stands in the plan once."""
+    pairs = [F.lit(x) for name, d in (table or RELATION_DISTANCE).items() for x in (name, float(d))]
+    return F.try_element_at(F.create_map(*pairs), relation)
 
 
 def training_edges(edges: DataFrame, table: dict[str, float] | None = None) -> DataFrame:

@@ -39,7 +39,7 @@ def train_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _tree_words(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     p = materialise(parsed(spark, sf_dir), "parsed")
     words = p.where("success").select(F.explode("nodes").alias("n")).select(F.lower("n.text").alias("word")).where("word IS NOT NULL")
-    return p, train.initial_vectors(words, DIMS)
+    return p, materialise(train.initial_vectors(words, DIMS), "word-vectors")
 
 
 @registry.query("composition_loss")
@@ -57,9 +57,8 @@ def tree_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.query("encode_sentences")
 def encode_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentence vectors composed along the parse trees."""
-    p = parsed(spark, sf_dir)
-    words = p.where("success").select(F.explode("nodes").alias("n")).select(F.lower("n.text").alias("word")).where("word IS NOT NULL")
-    return train.tree_vectors(p, train.initial_vectors(words, DIMS), DIMS)
+    p, vectors = _tree_words(spark, sf_dir)
+    return train.tree_vectors(p, vectors, DIMS)
 
 
 @registry.query("parse_trees_dot")
