@@ -446,13 +446,13 @@ def similar_vectors(
 
 
 def measured(df: DataFrame, key: str, vector: str, dims: int, k: int = 5, recall: float = RECALL) -> DataFrame:
-    """One row: the hashing that ``similar_vectors`` would choose, its recall on the sampled vectors' true
+    """One row, or none without a usable vector: the hashing that ``similar_vectors`` would choose, its recall on the sampled vectors' true
     neighbours and the share of all distinct vectors that one is compared with."""
     groups = materialise(classes(usable_vectors(df, key, vector, dims), k), "knn-classes")
-    t = tune(groups, dims, k, recall)
+    n, t = groups.count(), tune(groups, dims, k, recall)
     h = t.hashing
-    row = (groups.count(), h.functions, h.tables, h.probes, h.width, t.recall, t.share)
-    return df.sparkSession.createDataFrame([row], "vectors long, functions int, tables int, probes int, width double, recall double, compared_share double")
+    row = (n, h.functions, h.tables, h.probes, h.width, t.recall, t.share)
+    return df.sparkSession.createDataFrame([row] if n else [], "vectors long, functions int, tables int, probes int, width double, recall double, compared_share double")
 
 
 def _members(h: Hashing):
