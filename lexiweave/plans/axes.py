@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import permutations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -30,7 +32,7 @@ def written_opposites(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _BOTH = f"b AS (SELECT w1 AS w, w2 AS x FROM {PAIRS} UNION ALL SELECT w2, w1 FROM {PAIRS})"
-#: Shared opposites that put two words into one pole, as in the reference; ``anchors.poles`` asks for more.
+#: Shared opposites that put two words into one pole, as in the reference; ``anchors.poles`` asks for more. ``shared_poles`` holds for 1.
 MIN_SHARED = 1
 #: Opposites of one word in a block; pairs are made between blocks, so that a hub's pairs are spread over tasks.
 PAIR_BLOCK = 256
@@ -62,13 +64,60 @@ def shared_neighbor_pole_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _links(written_opposites(spark, sf_dir))
 
 
+def _triangles(p: DataFrame) -> DataFrame:
+    """Triangles a < b < c: wedges from ordered edges, closed by an equi-join."""
+    # edges point from the word of fewer opposites to that of more, so that no word has many that point away
+    n = p.select(F.explode(F.array("w1", "w2")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    d = bounded_join(bounded_join(p, n.toDF("w1", "n1"), "w1", spread=["w2"]), n.toDF("w2", "n2"), "w2", spread=["w1"])
+    up = F.struct("n1", "w1") < F.struct("n2", "w2")
+    e = materialise(d.select(F.when(up, F.col("w1")).otherwise(F.col("w2")).alias("u"), F.when(up, F.col("w2")).otherwise(F.col("w1")).alias("v")), "ordered-opposites")
+    wedges = bounded_join(e.toDF("u", "x"), e.toDF("u", "y"), "u", spread=["x"]).where("x < y").select("u", F.col("x").alias("w1"), F.col("y").alias("w2"))
+    t = F.array_sort(F.array("u", "w1", "w2"))
+    return wedges.join(p, ["w1", "w2"], "left_semi").select(t[0].alias("a"), t[1].alias("b"), t[2].alias("c"))
+
+
+def _connecting(p: DataFrame) -> DataFrame:
+    """Pairs (a, b) that connect the same words as all links of at least one shared opposite, without making the links.
+
+    The opposites of a word x are all linked but for those that are opposites of each other, of which every pair is a
+    triangle with x. The centre is the opposite of x in the fewest triangles: what is no opposite of the centre is linked to
+    it. What is one is reached over any of the former that it is linked to; only if it is linked to none of them are its
+    pairs with the others beside the centre made. Those are at most twice the triangles of x, all else is one row for each opposite.
+    """
+    t = materialise(_triangles(p), "triangles")
+    corners = F.array(*[F.struct(F.col(i).alias("x"), F.col(j).alias("w"), F.col(k).alias("u")) for i, j, k in permutations("abc")])
+    t = materialise(t.select(F.explode(corners).alias("t")).select("t.*"), "corners")
+    both = p.select(F.col("w1").alias("x"), F.col("w2").alias("w")).unionByName(p.select(F.col("w2").alias("x"), F.col("w1").alias("w")))
+    inside = t.groupBy("x", "w").agg(F.count(F.lit(1)).alias("d"))
+    d = materialise(bounded_join(both, inside, ["x", "w"], "left").select("x", "w", F.coalesce("d", F.lit(0)).alias("d")), "opposites-inside")
+    centre = d.groupBy("x").agg(F.min(F.struct("d", "w")).alias("m"), F.count(F.lit(1)).alias("n"))
+    centre = materialise(centre.select("x", F.col("m.w").alias("centre"), (F.col("n") - 1 - F.col("m.d")).alias("free")), "centres-of-opposites")
+    # opposites of x that are opposites of its centre, with the number of ``free`` ones that they are opposites of
+    beside = materialise(bounded_join(t, centre, "x", spread=["u"]).where("w = centre").select("x", F.col("u").alias("w")), "beside-centres")
+    among = bounded_join(bounded_join(t, beside, ["x", "w"], "left_semi"), beside.withColumnRenamed("w", "u"), ["x", "u"], "left_semi")
+    among = among.groupBy("x", "w").agg(F.count(F.lit(1)).alias("among"))
+    beside = bounded_join(bounded_join(beside, inside, ["x", "w"]), among, ["x", "w"], "left")
+    beside = materialise(beside.select("x", "w", (F.col("d") - 1 - F.coalesce("among", F.lit(0))).alias("met")), "beside")
+    star = bounded_join(bounded_join(d.select("x", "w"), centre, "x", spread=["w"]).where("w <> centre"), beside, ["x", "w"], "left")
+    near = star.where("met IS NULL OR met < free").select(F.col("centre").alias("a"), F.col("w").alias("b"))
+    apart = bounded_join(beside, centre, "x").where("met = free").select("x", F.col("w").alias("v"))
+    others = bounded_join(beside.select("x", "w"), apart, "x", spread=["w"]).where("v <> w")
+    others = others.select(F.least("v", "w").alias("w1"), F.greatest("v", "w").alias("w2")).distinct().join(p, ["w1", "w2"], "left_anti")
+    return near.unionByName(others.toDF("a", "b"))
+
+
+def shared_poles(p: DataFrame) -> DataFrame:
+    """(node, component) of words joined by a shared opposite."""
+    return graph.components(_connecting(p), "a", "b")
+
+
 @registry.query(
     "pole_components",
     f"""WITH RECURSIVE {_LINKS}, k AS (SELECT a, b FROM l WHERE shared >= {MIN_SHARED}), e AS (SELECT a AS u, b AS v FROM k UNION SELECT b, a FROM k),
 r AS (SELECT u AS node, u AS seen FROM e UNION SELECT r.node, e.v FROM r JOIN e ON r.seen = e.u) SELECT node, min(seen) AS component FROM r GROUP BY node""",
 )
 def pole_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.components(_links(written_opposites(spark, sf_dir)).where(F.col("shared") >= MIN_SHARED), "a", "b")
+    return shared_poles(written_opposites(spark, sf_dir))
 
 
 @registry.query(
@@ -76,16 +125,7 @@ def pole_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH p AS {PAIRS} SELECT x.w1 AS a, x.w2 AS b, y.w2 AS c FROM p x JOIN p y ON x.w2 = y.w1 JOIN p z ON z.w1 = x.w1 AND z.w2 = y.w2",
 )
 def triads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Triangles a < b < c: wedges from ordered edges, closed by an equi-join."""
-    p = written_opposites(spark, sf_dir)
-    # edges point from the word of fewer opposites to that of more, so that no word has many that point away
-    n = p.select(F.explode(F.array("w1", "w2")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    d = bounded_join(bounded_join(p, n.toDF("w1", "n1"), "w1", spread=["w2"]), n.toDF("w2", "n2"), "w2", spread=["w1"])
-    up = F.struct("n1", "w1") < F.struct("n2", "w2")
-    e = materialise(d.select(F.when(up, F.col("w1")).otherwise(F.col("w2")).alias("u"), F.when(up, F.col("w2")).otherwise(F.col("w1")).alias("v")), "ordered-opposites")
-    wedges = bounded_join(e.toDF("u", "x"), e.toDF("u", "y"), "u", spread=["x"]).where("x < y").select("u", F.col("x").alias("w1"), F.col("y").alias("w2"))
-    t = F.array_sort(F.array("u", "w1", "w2"))
-    return wedges.join(p, ["w1", "w2"], "left_semi").select(t[0].alias("a"), t[1].alias("b"), t[2].alias("c"))
+    return _triangles(written_opposites(spark, sf_dir))
 
 
 @registry.query(

@@ -67,6 +67,34 @@ def test_poles_of_hubs(spark, opposites, triples):
     assert [(sorted(r[1]), r[2]) for r in axis] == [(sorted(set(pole.values())), between)]
 
 
+def opposites_table(spark, folder, pairs):
+    rows = [(i, a, "compared-to", b, 1.0, "parse") for i, (a, b) in enumerate(sorted(pairs))]
+    schema = "triple_id long, subject string, relation string, object string, confidence double, source_type string"
+    spark.createDataFrame(rows, schema).write.parquet(f"{folder}/semantic_triple.parquet")
+
+
+def test_poles_without_all_links(spark, tmp_path, monkeypatch):
+    """Graphs of every density, each apart from the others, and a hub: the same poles as by all links, from far fewer pairs."""
+    rng = np.random.default_rng(5)
+    pairs = {(f"hub{i:03}", "hub") for i in range(300)}
+    for g in range(60):
+        n, share = int(rng.integers(3, 9)), rng.choice([0.3, 0.6, 0.8, 0.95])
+        pairs |= {(f"g{g:02}{i}", f"g{g:02}{j}") for i, j in combinations(range(n), 2) if rng.random() < share}
+        kind = rng.integers(0, 3, 6)  # complete between the kinds, nothing within one
+        pairs |= {(f"k{g:02}{i}", f"k{g:02}{j}") for i, j in combinations(range(6), 2) if kind[i] != kind[j]}
+    pairs = {tuple(sorted(p)) for p in pairs}
+    opposites_table(spark, tmp_path, pairs)
+    triangles = len(run(spark, tmp_path, "triads"))
+    made = axes._connecting(axes.opposites(spark, str(tmp_path))).collect()
+    assert len(made) <= 2 * len(pairs) + 6 * triangles < len(linked(pairs))
+
+    def all_links(p):
+        raise AssertionError("poles need no table of all links")
+
+    monkeypatch.setattr(axes, "_links", all_links)
+    assert dict(run(spark, tmp_path, "pole_components")) == parts(linked(pairs))
+
+
 def test_close_poles_of_hubs(spark, opposites, triples):
     links = linked(opposites)
     pole = parts(p for p, n in links.items() if n >= 4)
