@@ -10,7 +10,7 @@ from ..core.terms import term, term_sql
 from ..functions import anchors, vec
 from ..operators import graph
 from . import Registry, table
-from .axes import _LINKS, _AXES, MIN_SHARED, PAIRS, _links, opposites, written_opposites
+from .axes import _LINKS, _AXES, PAIRS, _links, opposites, shared_poles, written_opposites
 from .graph import EDGES, edges_of
 from .vectors import E, LONG, PAIR_DIMS, PAIRS as VEC_PAIRS, POLARITY_DIMS, _NOT_A, long_form, pair_dims, r6, vectors
 
@@ -241,7 +241,7 @@ def _stars(pairs: DataFrame) -> DataFrame:
 def axis_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Axes of poles that oppose one another, each pole in one axis, smaller pole names first."""
     p = written_opposites(spark, sf_dir)
-    c = materialise(graph.components(_links(p).where(F.col("shared") >= MIN_SHARED), "a", "b").withColumnRenamed("component", "pole"), "poles")
+    c = materialise(shared_poles(p).withColumnRenamed("component", "pole"), "poles")
     j = bounded_join(bounded_join(p, c.toDF("w1", "p1"), "w1"), c.toDF("w2", "p2"), "w2").where("p1 <> p2")
     n = j.groupBy(F.least("p1", "p2").alias("a"), F.greatest("p1", "p2").alias("b")).agg(F.count(F.lit(1)).alias("n"))
     axes = _stars(n).groupBy("centre").agg(F.array_sort(F.collect_set("pole")).alias("mates"), F.sum("n").alias("pairs"))

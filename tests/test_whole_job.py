@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from lexiweave.operators import cluster
-from lexiweave.plans import axes, catalog
+from lexiweave.plans import anchors, axes, catalog
 from lexiweave.plans.vectors import vectors
 
 ENTRIES = catalog.entries()
@@ -95,6 +95,16 @@ def test_poles_without_all_links(spark, tmp_path, monkeypatch):
     assert dict(run(spark, tmp_path, "pole_components")) == parts(linked(pairs))
 
 
+def test_axes_without_all_links(spark, opposites, triples, monkeypatch):
+    def all_links(p):
+        raise AssertionError("axes need no table of all links")
+
+    want = run(spark, triples, "axis_assembly")
+    monkeypatch.setattr(anchors, "_links", all_links)
+    monkeypatch.setattr(axes, "_links", all_links)
+    assert want and run(spark, triples, "axis_assembly") == want
+
+
 def test_close_poles_of_hubs(spark, opposites, triples):
     links = linked(opposites)
     pole = parts(p for p, n in links.items() if n >= 4)
