@@ -24,7 +24,7 @@ def record(sentence_id: int | None, sentence: str | None, lang: str, config: par
     out = dict.fromkeys(("parse_score", "error", "triples", "contexts", "nodes", "edges", "consumed"))
     out |= {"sentence_id": sentence_id, "sentence": sentence, "success": False, "num_triples": 0}
     try:
-        best = parser.parse(parser.tag_sentence(sentence or "", lang), parser.load_grammar(parser.builtin_grammar(lang)), config)[0]
+        best = parser.parse_best(sentence or "", lang, config)
     except (ValueError, RecursionError) as e:
         out["error"] = str(e)[:200]
         return out
@@ -65,6 +65,27 @@ def parse_sentences(
     return rows.mapInArrow(run, RECORD)
 
 
+def measure_sentences(df: DataFrame, sentence: str, lang: str, config: parser.Config = parser.Config()) -> DataFrame:
+    """``success``, ``parse_score``, ``num_triples`` and ``error`` of ``parse_sentences`` for each row, without the trees."""
+
+    def one(sentence: str | None, lang: str) -> tuple[bool, float | None, int, str | None]:
+        try:
+            score, n = parser.measure(sentence or "", lang, config)
+        except (ValueError, RecursionError) as e:
+            return False, None, 0, str(e)[:200]
+        return score > 0, score, n, None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                found = zip(*(one(s, x or "en") for s, x in zip(*(c.to_pylist() for c in b.columns))))
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(found, arrow)], schema=arrow)
+
+    out = "success boolean, parse_score double, num_triples int, error string"
+    arrow = to_arrow_schema(StructType.fromDDL(out))
+    return df.select(sentence, lang).mapInArrow(run, out)
+
+
 def triples_of(parsed: DataFrame) -> DataFrame:
     """(sentence_id, subject, relation, object, confidence) of the successful parses."""
     t = parsed.where("success").select("sentence_id", F.col("parse_score").alias("confidence"), F.explode("triples").alias("t"))

@@ -3,7 +3,8 @@ import json
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from lexiweave.operators import parser as p
+from lexiweave.operators import parser, parser as p
+from lexiweave.operators.parse_op import record
 
 GOLDENS = [
     (3, 2, [(0, 1), (1, 2)], [2], 0.8138),
@@ -84,3 +85,28 @@ def test_beam_properties(words):
     again = p.prune(hs, p.Config())
     assert {h.key() for h in again} <= {h.key() for h in hs}
     assert p.prune(again, p.Config()) == again
+
+
+def test_one_parse_for_a_shape(monkeypatch):
+    """Sentences that differ only in words no rule asks for are parsed once, with the results of a parse of their own."""
+    calls = []
+    parse = parser.parse
+    monkeypatch.setattr(parser, "parse", lambda *a: calls.append(1) or parse(*a))
+    parser._of_shape.cache_clear()
+    words = "The {} mill was built by a {} near the {} ."
+    same = [words.format(*w) for w in (("old", "blorn", "grint"), ("old", "plim", "stovk"), ("old", "drub", "kelm"))]
+    other = ["The mill was built near a river .", "The mill is built by hand .", "Run !", "", "The saw saw that light .", "El molino viejo muele ."]
+    for lang in ("en", "es"):
+        for text in same + other:
+            calls.clear()
+            got = record(1, text, lang, parser.Config())
+            if text in same[1:]:
+                assert not calls
+            try:
+                best = parse(parser.tag_sentence(text, lang), parser.load_grammar(parser.builtin_grammar(lang)), parser.Config())[0]
+            except ValueError as e:
+                assert got["error"] == str(e)
+                continue
+            assert got["parse_score"] == best.score and [tuple(t.values()) for t in got["triples"]] == parser.triples(best)
+            assert [tuple(c.values()) for c in got["contexts"]] == parser.contexts(best) and [n["text"] for n in got["nodes"]] == list(best.texts)
+            assert parser.measure(text, lang) == (best.score, len(parser.triples(best)))
