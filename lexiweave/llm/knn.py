@@ -1,4 +1,4 @@
-"""Most similar vectors for every vector, by multiprobe p-stable hashing.
+"""Most similar vectors for every vector: exactly (``allpairs``), or with a wanted recall by multiprobe p-stable hashing.
 
 Each table hashes a centred unit vector by floor((a·x + b) / w) over several Gaussian directions a.
 A vector lies in one bucket of each table and visits, besides its own bucket, those reached by
@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..core.session import materialise, task_count
 from ..core.sizing import bounded_join, rows_at_most
+from .allpairs import matrix as _matrix, nearest, unit as _unit
 
 
 #: Similarities that a worker holds at once.
@@ -152,14 +153,6 @@ def buckets(x: np.ndarray, h: Hashing, probe: bool) -> np.ndarray:
     return np.stack(out, 1)
 
 
-def _matrix(column: pa.Array, dims: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, dims).astype(np.float64)
-
-
-def _unit(x: np.ndarray) -> np.ndarray:
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
-
-
 def usable_vectors(df: DataFrame, key: str, vector: str, dims: int) -> DataFrame:
     """``id`` and ``v``: vectors of ``dims`` finite numbers that are not all zero; the others take no part."""
     v = F.col(vector)
@@ -424,19 +417,21 @@ def _placed(groups: DataFrame, h: Hashing) -> DataFrame:
 
 
 def similar_vectors(
-    df: DataFrame, key: str, vector: str, dims: int, k: int = 5, hashing: Hashing | None = None, recall: float = RECALL
+    df: DataFrame, key: str, vector: str, dims: int, k: int = 5, hashing: Hashing | None = None, recall: float | None = None
 ) -> DataFrame:
     """For every usable vector its k most similar others: ``id``, ``neighbour``, ``similarity``, ``rank``.
 
     Similarity is the cosine in double precision, rounded to 9 decimals; of equal ones the
     smaller id comes first. ``key`` is a whole number. Vectors that are null, of another length, all zero or hold a null,
     a NaN or an infinite number take no part; repeated rows count once; exact copies are
-    neighbours of one another. With fewer than k + 1 vectors all others are given. Candidates
-    are approximate (a neighbour in no bucket visited is missed), their order is exact.
-    Without ``hashing`` it is chosen by ``tune`` for a sampled recall of ``recall``.
+    neighbours of one another. With fewer than k + 1 vectors all others are given.
+    The result is exact, unless ``hashing`` or a ``recall`` is given: then candidates are approximate (a neighbour
+    in no bucket visited is missed), and hashing that is not given is chosen by ``tune`` for a sampled recall of ``recall``.
     """
     vectors = usable_vectors(df, key, vector, dims)
     groups = materialise(classes(vectors, k), "knn-classes")
+    if hashing is None and recall is None:
+        return _expand(materialise(nearest(groups, dims, k), "knn-near"), groups, vectors, k)
     h = hashing or tune(groups, dims, k, recall).hashing
     placed = _placed(groups, h).select("bucket", "block", "probe", "id", "bytes").repartition("bucket", "block").sortWithinPartitions("bucket", "block", "probe")
     found = placed.mapInArrow(_rank(dims, k), "a long, b long, similarity double")
@@ -446,7 +441,7 @@ def similar_vectors(
 
 
 def measured(df: DataFrame, key: str, vector: str, dims: int, k: int = 5, recall: float = RECALL) -> DataFrame:
-    """One row, or none without a usable vector: the hashing that ``similar_vectors`` would choose, its recall on the sampled vectors' true
+    """One row, or none without a usable vector: the hashing that ``similar_vectors`` would choose for ``recall``, its recall on the sampled vectors' true
     neighbours and the share of all distinct vectors that one is compared with."""
     groups = materialise(classes(usable_vectors(df, key, vector, dims), k), "knn-classes")
     n, t = groups.count(), tune(groups, dims, k, recall)
