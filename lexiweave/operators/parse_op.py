@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -10,7 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..core.session import task_count
-from . import parser
+from . import beam, parser
 
 RECORD = (
     "sentence_id long, sentence string, success boolean, parse_score double, num_triples int, error string, "
@@ -65,25 +67,57 @@ def parse_sentences(
     return rows.mapInArrow(run, RECORD)
 
 
-def measure_sentences(df: DataFrame, sentence: str, lang: str, config: parser.Config = parser.Config()) -> DataFrame:
-    """``success``, ``parse_score``, ``num_triples`` and ``error`` of ``parse_sentences`` for each row, without the trees."""
+#: Distinct shapes that a task holds before it hands on their counts.
+SHAPES = 100_000
 
-    def one(sentence: str | None, lang: str) -> tuple[bool, float | None, int, str | None]:
-        try:
-            score, n = parser.measure(sentence or "", lang, config)
-        except (ValueError, RecursionError) as e:
-            return False, None, 0, str(e)[:200]
-        return score > 0, score, n, None
+
+def _mapped(each: Callable[[Iterator[tuple]], Iterator[tuple]], df: DataFrame, out: str) -> DataFrame:
+    """Rows of ``each`` over all rows of a partition."""
+    arrow = to_arrow_schema(StructType.fromDDL(out))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                found = zip(*(one(s, x or "en") for s, x in zip(*(c.to_pylist() for c in b.columns))))
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(found, arrow)], schema=arrow)
+        rows = each(row for b in batches for row in zip(*(c.to_pylist() for c in b.columns)))
+        while part := list(islice(rows, 5000)):
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*part), arrow)], schema=arrow)
 
-    out = "success boolean, parse_score double, num_triples int, error string"
-    arrow = to_arrow_schema(StructType.fromDDL(out))
-    return df.select(sentence, lang).mapInArrow(run, out)
+    return df.mapInArrow(run, out)
+
+
+def measure_texts(df: DataFrame, text: str, lang: str, config: parser.Config = parser.Config()) -> DataFrame:
+    """``success``, ``parse_score``, ``num_triples`` and ``error`` of ``parse_sentences``, without the trees, for ``sentences`` of the texts each.
+
+    Sentences of one shape (all that a parse sees) are counted, then each shape is parsed once, by one task.
+    """
+
+    def count(rows: Iterator[tuple]) -> Iterator[tuple]:
+        seen: Counter = Counter()
+        for t, x in rows:
+            x = "es" if x == "es" else "en"
+            for s in parser.sentences_of(t or ""):
+                try:
+                    seen[x, beam.shape(s, x, config), None] += 1
+                except ValueError as e:
+                    seen[x, None, str(e)[:200]] += 1
+            if len(seen) >= SHAPES:
+                yield from ((*k, n) for k, n in seen.items())
+                seen.clear()
+        yield from ((*k, n) for k, n in seen.items())
+
+    def one(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for x, shape, error, n in rows:
+            if error is not None:
+                yield False, None, 0, error, n
+                continue
+            try:
+                score, triples = beam.measure(shape, x, config)
+                yield score > 0, score, triples, None, n
+            except (ValueError, RecursionError) as e:
+                yield False, None, 0, str(e)[:200], n
+
+    shapes = _mapped(count, df.select(text, lang), "lang string, shape string, error string, n long")
+    shapes = shapes.repartition(4 * task_count(df.sparkSession), "lang", "shape", "error")  # by number: a small table may be a long parse
+    shapes = shapes.groupBy("lang", "shape", "error").agg(F.sum("n").alias("n"))
+    return _mapped(one, shapes, "success boolean, parse_score double, num_triples int, error string, sentences long")
 
 
 def triples_of(parsed: DataFrame) -> DataFrame:
